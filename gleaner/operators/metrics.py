@@ -185,11 +185,13 @@ def planted_passages(passages: DataFrame, tokens: DataFrame, terms: DataFrame) -
         "query_id", "term", F.concat(F.lit(" "), "norm", F.lit(" ")).alias("needle")
     )
     anchors = hinted(anchors, fits(anchors, DEFAULT.broadcast_bytes))
-    held = tokens.select(
-        "chunk_id", F.concat(F.lit(" "), "norm", F.lit(" ")).alias("hay"),
-        F.explode(F.array_distinct(split_tokens(F.col("norm")))).alias("term"),
-    )
-    return held.join(anchors, "term").filter(F.contains("hay", "needle")).select("query_id", "chunk_id")
+    # Ids first; the token text is fetched for the candidates by a join on the shared partitioning.
+    holders = tokens.select(
+        "chunk_id", F.explode(F.array_distinct(split_tokens(F.col("norm")))).alias("term")
+    ).join(anchors, "term")
+    hay = tokens.select("chunk_id", F.concat(F.lit(" "), "norm", F.lit(" ")).alias("hay"))
+    found = holders.select("chunk_id", "query_id", "needle").join(hay, "chunk_id")
+    return found.filter(F.contains("hay", "needle")).select("query_id", "chunk_id")
 
 
 def recall_at(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
