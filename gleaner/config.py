@@ -23,6 +23,8 @@ class RetrievalConfig:
     vector_dim: int = 64
     # A side is broadcast only when its measured size is below this.
     broadcast_bytes: int = 64 * 1024 * 1024
+    # Target size of a shuffle partition, and of one part of a chunk table looked up by id.
+    partition_bytes: int = 128 * 1024 * 1024
     # Terms with more postings than this are spread over several shuffle keys.
     hot_term_postings: int = 1_000_000
     # Queries multiplied against the vectors in one pass.

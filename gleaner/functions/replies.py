@@ -32,7 +32,8 @@ def judge_number(reply: Column) -> Column:
         lambda x: x.isNotNull(),
     )
     first = F.get(numbers, F.lit(0))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), first)), F.lit(0.0))
+    # least and greatest pass over NULL, so a reply without a number is told apart first.
+    return F.when(first.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), first)))
 
 
 def names_in_text(df: DataFrame, key: str, text: str, names: DataFrame, out: str = "names") -> DataFrame:
@@ -58,9 +59,11 @@ def names_in_text(df: DataFrame, key: str, text: str, names: DataFrame, out: str
     # File names have at most 255 characters, so there are few distinct lengths.
     sizes = [r["n"] for r in listed.select(F.length("needle").alias("n")).distinct().collect()]
     starts = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
-    pieces = F.array_distinct(
-        F.flatten(F.array(*[F.transform(starts, lambda i, n=n: F.substring(low, i, F.lit(n))) for n in sizes]))
-    )
+
+    def cut(n: int) -> Column:
+        return F.transform(starts, lambda i: F.substring(low, i, F.lit(n)))
+
+    pieces = F.array_distinct(F.flatten(F.array(*[cut(n) for n in sizes])))
     found = (
         df.select(key, F.explode(pieces).alias("needle"))
         .join(listed, "needle")

@@ -9,9 +9,13 @@ from gleaner.functions.text import or_unknown
 
 
 def pending(items: DataFrame, done: DataFrame, key: str | list[str]) -> DataFrame:
-    """Items whose key is not among the finished ones."""
+    """Items whose key is not among the finished ones.
+
+    Finished keys are made distinct first, on the partitioning the join needs anyway, so a key that
+    was stored many times does not pile up in one task.
+    """
     keys = [key] if isinstance(key, str) else key
-    return items.join(done.select(*keys), keys, "left_anti")
+    return items.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
 def page_key(source: Column, page: Column, text: Column) -> Column:

@@ -13,6 +13,10 @@ from gleaner.functions.text import split_tokens, tokenize
 from gleaner.sources.scratch import materialize
 
 
+# Rough size of a token in a row, used for partition counts only.
+BYTES_PER_TOKEN = 8
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
     """``tokens(chunk_id, source, dl, norm)``, ``terms(term, df, idf)`` and the mean length.
@@ -66,8 +70,17 @@ def term_statistics(tokens: DataFrame, n_chunks: int, cfg: RetrievalConfig = DEF
 def build_index(chunks: DataFrame, cfg: RetrievalConfig = DEFAULT) -> LexicalIndex:
     """Index over ``chunks(chunk_id, source, text)``; statistics always cover the whole corpus."""
     tokens = tokenized(chunks)
-    terms, avgdl = term_statistics(tokens, chunks.count(), cfg)
-    return LexicalIndex(tokens.repartition("chunk_id"), terms, avgdl)
+    n_chunks = chunks.count()
+    terms, avgdl = term_statistics(tokens, n_chunks, cfg)
+    return LexicalIndex(by_chunk(tokens, n_chunks * avgdl, cfg), terms, avgdl)
+
+
+def by_chunk(tokens: DataFrame, n_tokens: float, cfg: RetrievalConfig = DEFAULT) -> DataFrame:
+    """Hash-partitions on ``chunk_id``. The corpus length is known by then: where the session's
+    partition count would leave partitions above the target size, more are asked for."""
+    usual = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    needed = -(-int(n_tokens * BYTES_PER_TOKEN) // cfg.partition_bytes)
+    return tokens.repartition(needed, "chunk_id") if needed > usual else tokens.repartition("chunk_id")
 
 
 def postings_of(tokens: DataFrame) -> DataFrame:
@@ -139,7 +152,7 @@ def bm25_scores(queries: DataFrame, index: LexicalIndex, cfg: RetrievalConfig =
     """``(query_id, chunk_id, score)`` of every chunk sharing a term with the query."""
     wanted = query_terms(with_sources(queries))
     small = fits(wanted, cfg.broadcast_bytes)
-    weights = wanted.join(index.terms, "term").select(
+    weights = index.terms.join(hinted(wanted, small), "term").select(
         "query_id", "sources", "term", (F.col("qtf") * F.col("idf")).alias("weight")
     )
     if index.postings is not None:

@@ -18,12 +18,13 @@ from gleaner.sources.scratch import materialize, scratch_path
 
 @dataclass(frozen=True)
 class Corpus:
-    """Chunks with both indexes. ``embeddings(chunk_id, source, vector)``."""
+    """Chunks with both indexes. ``embeddings(chunk_id, source, vector)``; ``id_parts`` is set where
+    the chunks are stored by id."""
 
     chunks: DataFrame
     lexical: lexical.LexicalIndex
     embeddings: DataFrame
-    dim: int
+    id_parts: int | None = None
 
 
 def build_corpus(chunks: DataFrame, embed: Step | None = None, cfg: RetrievalConfig = DEFAULT) -> Corpus:
@@ -36,17 +37,32 @@ def build_corpus(chunks: DataFrame, embed: Step | None = None, cfg: RetrievalCon
         embeddings = vectors.hashed_vectors(index.tokens, ["chunk_id", "source"], cfg.vector_dim)
     else:
         embeddings = embed(chunks.select("chunk_id", "source", "text")).select("chunk_id", "source", "vector")
-    return Corpus(chunks, index, vectors.checked_dimension(embeddings, cfg.vector_dim), cfg.vector_dim)
+    return Corpus(chunks, index, vectors.checked_dimension(embeddings, cfg.vector_dim))
 
 
-def stored(spark: SparkSession, corpus: Corpus) -> Corpus:
-    """The same corpus read back from scratch tables, for plans that search it several times."""
+def id_part(parts: int):
+    return F.pmod(F.xxhash64("chunk_id"), F.lit(parts).cast("long")).cast("int")
+
+
+def stored(spark: SparkSession, corpus: Corpus, cfg: RetrievalConfig = DEFAULT) -> Corpus:
+    """The same corpus read back from scratch tables, for plans that search it several times.
+
+    Chunks are kept in folders by a hash of their id; fetching the text of a few winners then opens
+    the folders of those winners only.
+    """
     path = scratch_path(spark, "index")
     lexical.save_index(corpus.lexical, path)
+    index = lexical.load_index(spark, path)
+    size = index.tokens.agg(F.coalesce(F.sum(F.octet_length("norm")), F.lit(0)).alias("n")).first()["n"]
+    parts = max(1, -(-size // cfg.partition_bytes))
+    columns = corpus.chunks.select("chunk_id", "source", "page", "text", id_part(parts).alias("id_part"))
+    columns.hint("rebalance", F.col("id_part")).write.partitionBy("id_part").parquet(f"{path}/chunks")
     return replace(
         corpus,
-        lexical=lexical.load_index(spark, path),
+        chunks=spark.read.parquet(f"{path}/chunks"),
+        lexical=index,
         embeddings=materialize(corpus.embeddings, "embeddings"),
+        id_parts=parts,
     )
 
 
@@ -67,6 +83,16 @@ def query_vectors(queries: DataFrame, hyde: Step | None = None, embed: Step | No
     return hashed.join(asked.select("query_id", "sources"), "query_id")
 
 
+def with_text(ranked: DataFrame, corpus: Corpus, small: bool) -> DataFrame:
+    """Adds source, page and text to ranked ids."""
+    keys, columns = ["chunk_id"], ["chunk_id", "source", "page", "text"]
+    if corpus.id_parts is not None:
+        ranked = ranked.withColumn("id_part", id_part(corpus.id_parts))
+        keys, columns = ["id_part", "chunk_id"], ["id_part", *columns]
+    joined = corpus.chunks.select(*columns).join(hinted(ranked, small), keys)
+    return joined.drop("id_part") if corpus.id_parts is not None else joined
+
+
 def candidates(queries: DataFrame, corpus: Corpus, hyde: Step | None = None, embed: Step | None = None,
                cfg: RetrievalConfig = DEFAULT) -> DataFrame:
     """Both ranked lists with question and chunk columns; texts are fetched for the winners only."""
@@ -76,7 +102,7 @@ def candidates(queries: DataFrame, corpus: Corpus, hyde: Step | None = None, emb
     ranked = fusion.both_lists(by_vector, by_term)
     # At most 2 k short rows per query: the bound follows from the number of queries.
     small = queries.count() * 2 * cfg.k_retrieve * 200 <= cfg.broadcast_bytes
-    return corpus.chunks.select("chunk_id", "source", "page", "text").join(hinted(ranked, small), "chunk_id")
+    return with_text(ranked, corpus, small)
 
 
 def fused(queries: DataFrame, corpus: Corpus, hyde: Step | None = None, embed: Step | None = None,

@@ -21,11 +21,16 @@ def _glob(suffix: str) -> str:
     return "*." + "".join(f"[{c.lower()}{c.upper()}]" for c in suffix)
 
 
+def _file_name() -> Column:
+    """Name of the file a row came from; Spark reports it percent-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Each UTF-8 text file as one row without a page number; ``source`` is the file name."""
     files = spark.read.option("pathGlobFilter", _glob("txt")).text(path, wholetext=True)
     return files.select(
-        F.col("_metadata.file_name").alias("source"), F.lit(None).cast("int").alias("page"),
+        _file_name().alias("source"), F.lit(None).cast("int").alias("page"),
         F.col("value").alias("text"),
     )
 
@@ -38,18 +43,15 @@ def read_page_tables(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     reader = spark.read.schema(PAGE_SCHEMA).option("pathGlobFilter", _glob(suffix))
     rows = reader.parquet(path) if suffix == "parquet" else reader.json(path)
     return rows.select(
-        F.coalesce("source", F.col("_metadata.file_name")).alias("source"), "page",
+        F.coalesce("source", _file_name()).alias("source"), "page",
         repair_encoding(F.col("text")).alias("text"),
     ).filter(~is_blank(F.col("text")))
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """``(name, suffix)`` of the visible files; contents are not read."""
-    name = F.element_at(F.split("path", "/"), -1)
-    return (
-        spark.read.format("binaryFile").load(path).select(F.url_decode(name).alias("name"))
-        .withColumn("suffix", F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1)))
-    )
+    files = spark.read.format("binaryFile").load(path).select(_file_name().alias("name"))
+    return files.withColumn("suffix", F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1)))
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:

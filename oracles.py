@@ -297,7 +297,7 @@ SELECT doc_id, CASE WHEN NOT contains(any_value(reply), 'tous') THEN string_agg(
 FROM r LEFT JOIN n ON contains(reply, lower(name)) GROUP BY doc_id""",
         "grade_replies": f"""SELECT conv_id, turn, turn <> 0 AND starts_with(lower({stripped(GRADE)}), 'oui') AS sufficient,
   CASE WHEN turn = 0 THEN 'NON — aucun extrait récupéré' ELSE {stripped(GRADE)} END AS verdict FROM conversations""",
-        "judge_numbers": f"SELECT event_id, coalesce(greatest(0.0::DOUBLE, least(1.0::DOUBLE, {NUMBER})), 0.0::DOUBLE) AS score FROM events",
+        "judge_numbers": f"SELECT event_id, CASE WHEN x IS NULL THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, x)) END AS score FROM (SELECT event_id, {NUMBER} AS x FROM events)",
         "pool_merge": ctes(POOL) + " SELECT query_id, rank, chunk_id, source FROM kept JOIN (SELECT chunk_id, source FROM chunks) USING (chunk_id) WHERE rank <= 5",
         "pending_items": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "progress_counts": "SELECT count(*) AS total, count(*) FILTER (d) AS done, count(*) FILTER (NOT d) AS to_do FROM (SELECT doc_id IN (SELECT doc_id FROM labels) AS d FROM documents)",
