@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.config import DEFAULT, RetrievalConfig
 from gleaner.functions.sizes import fits, hinted
-from gleaner.functions.text import split_tokens, tokenize
+from gleaner.functions.text import split_tokens, token_text, tokenize
 from gleaner.sources.scratch import materialize
 
 
 # Rough size of a token in a row, used for partition counts only.
 BYTES_PER_TOKEN = 8
+# Up to this many query terms are pushed into the scan of stored postings.
+PUSHED_TERMS = 1000
 
 
 @dataclass(frozen=True)
@@ -34,9 +36,8 @@ class LexicalIndex:
 
 def tokenized(chunks: DataFrame) -> DataFrame:
     """``(chunk_id, source, dl, norm)`` of each chunk; narrow."""
-    words = chunks.select("chunk_id", "source", tokenize(F.col("text")).alias("words"))
-    return words.select(
-        "chunk_id", "source", F.size("words").alias("dl"), F.array_join("words", " ").alias("norm")
+    return chunks.select("chunk_id", "source", token_text(F.col("text")).alias("norm")).withColumn(
+        "dl", token_count(F.col("norm"))
     )
 
 
@@ -75,12 +76,20 @@ def build_index(chunks: DataFrame, cfg: RetrievalConfig = DEFAULT) -> LexicalInd
     return LexicalIndex(by_chunk(tokens, n_chunks * avgdl, cfg), terms, avgdl)
 
 
+def token_count(norm: Column) -> Column:
+    blanks = F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit("")))
+    return F.when(norm == "", 0).otherwise(blanks + 1)
+
+
 def by_chunk(tokens: DataFrame, n_tokens: float, cfg: RetrievalConfig = DEFAULT) -> DataFrame:
     """Hash-partitions on ``chunk_id``. The corpus length is known by then: where the session's
-    partition count would leave partitions above the target size, more are asked for."""
+    partition count would leave partitions above the target size, more are asked for. Lengths are
+    counted behind the exchange, so that lexical and vector plans ask for the same one."""
     usual = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     needed = -(-int(n_tokens * BYTES_PER_TOKEN) // cfg.partition_bytes)
-    return tokens.repartition(needed, "chunk_id") if needed > usual else tokens.repartition("chunk_id")
+    rows = tokens.drop("dl")
+    spread = rows.repartition(needed, "chunk_id") if needed > usual else rows.repartition("chunk_id")
+    return spread.withColumn("dl", token_count(F.col("norm")))
 
 
 def postings_of(tokens: DataFrame) -> DataFrame:
@@ -158,7 +167,13 @@ def bm25_scores(queries: DataFrame, index: LexicalIndex, cfg: RetrievalConfig =
     if index.postings is not None:
         postings = index.postings
         if small:
-            postings = postings.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
+            asked = wanted.select("term").distinct()
+            few = [r["term"] for r in asked.limit(PUSHED_TERMS + 1).collect()]
+            if len(few) <= PUSHED_TERMS:
+                # Reaches the Parquet reader, which skips the row groups of other terms.
+                postings = postings.filter(F.col("term").isin(few))
+            else:
+                postings = postings.join(F.broadcast(asked), "term", "left_semi")
     elif small:
         # Drop the terms nobody asks for before counting.
         occurrences = index.tokens.select(

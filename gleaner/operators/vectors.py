@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,18 +97,23 @@ def _search_block(vectors: DataFrame, rows: list, id_type, k: int, cfg: Retrieva
         best = (none, np.array([], dtype=np.float64), np.array([], dtype=object))
         chunk_type = None
         for batch in batches:
-            n = batch.num_rows
             chunk_type = batch.schema.field("chunk_id").type
+            batch = batch.filter(pc.is_valid(batch.column("vector")))
+            n = batch.num_rows
             if n == 0:
                 continue
             ids = np.array(batch.column("chunk_id").to_pylist(), dtype=object)
             flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
             data = flat.astype(np.float64).reshape(n, -1)
-            data /= np.linalg.norm(data, axis=1, keepdims=True)
+            length = np.linalg.norm(data, axis=1, keepdims=True)
+            data /= np.where(length > 0, length, 1.0)
+            # A zero vector has no direction and is never found.
+            nowhere = length[:, 0] == 0
             sources = np.array(batch.column("source").to_pylist(), dtype=object)
             found = [best]
             for lo in range(0, len(matrix), tile):
                 score = np.round(data @ matrix[lo : lo + tile].T, places)
+                score[nowhere] = -np.inf
                 for q in restricted:
                     if lo <= q < lo + tile:
                         score[[s not in allowed[q] for s in sources], q - lo] = -np.inf
@@ -133,10 +139,7 @@ def _search_block(vectors: DataFrame, rows: list, id_type, k: int, cfg: Retrieva
             T.StructField("score", T.DoubleType()),
         ]
     )
-    usable = vectors.select("chunk_id", "source", "vector").filter(
-        F.exists("vector", lambda v: v != 0)
-    )
-    return usable.mapInArrow(search, schema)
+    return vectors.select("chunk_id", "source", "vector").mapInArrow(search, schema)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int | None = None,

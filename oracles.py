@@ -8,6 +8,7 @@ from gleaner.sources.pages import ENTITIES, MARKDOWN_RULES
 DIM = 64
 SIZE, OVERLAP = 1000, 200
 BLANKS = r"[\s\x1c-\x1f]"
+SEP = r"E'\n\n---\n\n'"
 
 
 def quoted(value: str) -> str:
@@ -83,32 +84,51 @@ BM25 = ",\n".join([CHUNKS, STATS, ASKED, scored()])
 HASHED = f"""cv AS ({unique('occ', 'chunk_id')}),
 qv AS ({unique('qocc', 'query_id')}),
 alike AS (SELECT query_id, chunk_id, round(sum(qv.w * cv.w), 6) AS score FROM qv JOIN cv USING (bucket) GROUP BY ALL)"""
-HYBRID = ",\n".join([
-    BM25, HASHED, ranked("lexical", "scored", 20), ranked("semantic", "alike", 20),
-    """both_lists AS (SELECT *, 1 AS is_vector FROM semantic UNION ALL SELECT *, 0 FROM lexical),
-told AS (SELECT b.*, c.source, c.text FROM both_lists b JOIN chunks c USING (chunk_id)),
-fused AS (
+
+
+def retrieval(n: str, queries: str) -> str:
+    """Hybrid retrieval of ``queries(query_id, question, sources)``; every table carries suffix ``n``."""
+    return f"""qocc{n} AS (SELECT query_id, unnest({tokens('question')}) AS term FROM {queries}),
+qt{n} AS (SELECT query_id, term, count(*) AS qtf FROM qocc{n} GROUP BY ALL),
+scored{n} AS MATERIALIZED (
+SELECT query_id, chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+FROM qt{n} JOIN idf USING (term) JOIN tf USING (term) JOIN dl USING (chunk_id) JOIN {queries} USING (query_id), total
+WHERE sources IS NULL OR list_contains(sources, source) GROUP BY ALL),
+qv{n} AS ({unique(f'qocc{n}', 'query_id')}),
+near{n} AS (SELECT query_id, chunk_id, sum(q.w * c.w) AS sim FROM qv{n} q JOIN cv c USING (bucket) GROUP BY ALL),
+alike{n} AS MATERIALIZED (SELECT q.query_id, c.chunk_id, round(coalesce(sim, 0), 6) AS score
+  FROM {queries} q CROSS JOIN dl c LEFT JOIN near{n} s ON s.query_id = q.query_id AND s.chunk_id = c.chunk_id
+  WHERE c.dl > 0 AND (q.sources IS NULL OR list_contains(q.sources, c.source))
+    AND q.query_id IN (SELECT query_id FROM qv{n})),
+{ranked(f'lexical{n}', f'scored{n}', 20)},
+{ranked(f'semantic{n}', f'alike{n}', 20)},
+both_lists{n} AS (SELECT *, 1 AS is_vector FROM semantic{n} UNION ALL SELECT *, 0 FROM lexical{n}),
+told{n} AS (SELECT b.*, c.source, c.text FROM both_lists{n} b JOIN chunks c USING (chunk_id)),
+fused{n} AS (
 SELECT query_id, text, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS rrf,
   coalesce(arg_max(chunk_id, rank) FILTER (is_vector = 1), arg_min(chunk_id, rank) FILTER (is_vector = 0)) AS chunk_id,
   min(rank) FILTER (is_vector = 1) AS vr, min(rank) FILTER (is_vector = 0) AS lr
-FROM told GROUP BY query_id, text),
-placed AS (SELECT f.query_id, f.text, f.rrf, f.chunk_id, c.source,
+FROM told{n} GROUP BY query_id, text),
+placed{n} AS MATERIALIZED (SELECT f.query_id, f.text, f.rrf, f.chunk_id, c.source,
   row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, vr NULLS LAST, lr) AS position
-FROM fused f JOIN chunks c USING (chunk_id)),
-capped AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY position) AS nth FROM placed QUALIFY nth <= 3),
-diverse AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY position) AS position)
-FROM capped QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY position) <= 10)""",
-])
-RERANKED = f"""pairs AS (SELECT d.*, {coverage('b.text', 'd.text')} AS pair_score
-FROM diverse d JOIN benchmark b ON b.item_id = d.query_id),
-best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pair_score DESC, position) AS rank
-FROM pairs QUALIFY rank <= 5)"""
+FROM fused{n} f JOIN chunks c USING (chunk_id)),
+capped{n} AS (SELECT p.*, question, row_number() OVER (PARTITION BY query_id, source ORDER BY position) AS nth
+  FROM placed{n} p JOIN {queries} USING (query_id) QUALIFY nth <= CASE WHEN len(sources) > 0 THEN 10 ELSE 3 END),
+diverse{n} AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY position) AS position)
+FROM capped{n} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY position) <= 10),
+pairs{n} AS (SELECT *, {coverage('question', 'text')} AS pair_score FROM diverse{n}),
+best{n} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pair_score DESC, position) AS rank
+FROM pairs{n} QUALIFY rank <= 5)"""
+
+
+CORPUS = ",\n".join([CHUNKS, STATS, f"cv AS MATERIALIZED ({unique('occ', 'chunk_id')})"])
+QUESTIONS = "asked AS (SELECT item_id AS query_id, text AS question, NULL::VARCHAR[] AS sources FROM benchmark)"
+HYBRID = ",\n".join([CORPUS, QUESTIONS, retrieval("", "asked")])
 PASSAGES = ",\n".join([
     BM25, ranked("lexical", "scored", 5),
     """hits AS (SELECT l.query_id, l.rank, l.chunk_id, c.source, c.text, b.text AS question
 FROM lexical l JOIN chunks c USING (chunk_id) JOIN benchmark b ON b.item_id = l.query_id)""",
 ])
-SEP = r"E'\n\n---\n\n'"
 JUDGED = ",\n".join([
     PASSAGES,
     f"""judged AS (SELECT query_id AS id, any_value(question) AS reference,
@@ -116,6 +136,48 @@ JUDGED = ",\n".join([
 ])
 
 
+def one_round(n: int) -> str:
+    """Round ``n`` of the loop over ``open{n}``: pool, grade, next query, still open questions."""
+    queries = f"search{n} AS (SELECT query_id, current_query AS question, sources FROM open{n})"
+    known = f"SELECT p.*, 0 AS is_new FROM pool{n - 1} p WHERE query_id IN (SELECT query_id FROM open{n})" if n > 1 else None
+    fresh = f"SELECT query_id, rank, chunk_id, text, 1 AS is_new FROM best{n} b"
+    if known:
+        fresh = (f"{known} UNION ALL {fresh} WHERE NOT EXISTS (SELECT 1 FROM pool{n - 1} p "
+                 "WHERE p.query_id = b.query_id AND p.text = b.text)")
+    missing = (
+        f"list_filter({tokens('question')}, lambda x, i: list_position({tokens('question')}, x) = i "
+        f"AND NOT list_contains({tokens('passages')}, x))"
+    )
+    return f"""{queries},
+{retrieval(str(n), f'search{n}')},
+merged{n} AS (SELECT m.*, o.question, row_number() OVER (PARTITION BY query_id ORDER BY is_new, rank) AS position,
+  count(*) OVER (PARTITION BY query_id) AS size FROM ({fresh}) m JOIN open{n} o USING (query_id)),
+ordered{n} AS (SELECT query_id, CASE WHEN size > 5 THEN row_number() OVER (PARTITION BY query_id
+  ORDER BY {coverage('question', 'text')} DESC, position) ELSE position END AS place, chunk_id, text FROM merged{n}),
+pool{n} AS MATERIALIZED (SELECT query_id, place AS rank, chunk_id, text FROM ordered{n} WHERE place <= 5),
+ctx{n} AS (SELECT query_id, string_agg(text, {SEP} ORDER BY rank) AS passages, count(*) AS n_passages FROM pool{n} GROUP BY query_id),
+graded{n} AS (SELECT o.*, passages, coalesce(n_passages, 0) AS n_passages,
+  coalesce(n_passages, 0) > 0 AND {coverage('question', 'passages')} >= 0.8 AS sufficient,
+  {stripped(f"'NON — ' || array_to_string({missing}, ' ')")} AS lacking FROM open{n} o LEFT JOIN ctx{n} USING (query_id)),
+state{n} AS MATERIALIZED (SELECT *, CASE WHEN n_passages = 0 THEN 'NON — aucun extrait récupéré'
+  WHEN sufficient THEN 'OUI' ELSE lacking END AS verdict FROM graded{n}),
+open{n + 1} AS MATERIALIZED (SELECT query_id, question, sources,
+  {stripped(r"regexp_replace(verdict, '^NON\s*—\s*', '')")} AS current_query, {n + 1} AS attempts FROM state{n} WHERE NOT sufficient)"""
+
+
+ROUNDS = ",\n".join([
+    CORPUS,
+    """names AS (SELECT DISTINCT source AS name, lower(source) AS needle FROM documents WHERE source IS NOT NULL),
+named AS (SELECT item_id, list(name ORDER BY name) AS found FROM benchmark JOIN names ON contains(lower(text), needle) GROUP BY item_id),
+open1 AS (SELECT b.item_id AS query_id, text AS question, found AS sources, text AS current_query, 1 AS attempts
+  FROM benchmark b LEFT JOIN named n ON n.item_id = b.item_id)""",
+    *[one_round(n) for n in (1, 2, 3)],
+    "finished AS (" + " UNION ALL ".join(
+        f"SELECT query_id, current_query, sources, attempts, sufficient, verdict, passages, n_passages FROM state{n}"
+        + ("" if n == 3 else " WHERE sufficient") for n in (1, 2, 3)) + ")",
+])
+
+
 def statements(name: str, text: str) -> str:
     runs = (
         f"list_filter(list_transform(regexp_extract_all({text}, '[^.!?\\n]+'), lambda s: {stripped('s')}), "
@@ -280,8 +342,8 @@ def oracle_sql() -> dict[str, str]:
         "hashed_top20": ctes(BM25, HASHED, ranked("r", "alike", 20)) + " SELECT query_id, chunk_id, rank, score FROM r",
         "rrf_fusion": ctes(HYBRID) + " SELECT query_id, position, chunk_id, source, rrf, text FROM placed",
         "rrf_diverse_top10": ctes(HYBRID) + " SELECT query_id, position, chunk_id, source, rrf FROM diverse",
-        "rerank_top5": ctes(HYBRID, RERANKED) + " SELECT query_id, rank, chunk_id, source, pair_score, text FROM best",
-        "grounded_answers": ctes(HYBRID, RERANKED)
+        "rerank_top5": ctes(HYBRID) + " SELECT query_id, rank, chunk_id, source, pair_score, text FROM best",
+        "grounded_answers": ctes(HYBRID)
         + f" SELECT b.item_id AS query_id, coalesce(arg_min(x.text, x.rank), {quoted(REFUSAL)}) AS answer, count(x.rank) AS n_passages FROM benchmark b LEFT JOIN best x ON x.query_id = b.item_id GROUP BY b.item_id",
         "context_assembly": ctes(PASSAGES) + rf""" SELECT query_id,
   string_agg('Source : ' || coalesce(source, '?') || E'\n' || text, {SEP} ORDER BY rank) || E'\n\nQUESTION : ' || any_value(question) AS prompt,
@@ -299,6 +361,9 @@ FROM r LEFT JOIN n ON contains(reply, lower(name)) GROUP BY doc_id""",
   CASE WHEN turn = 0 THEN 'NON — aucun extrait récupéré' ELSE {stripped(GRADE)} END AS verdict FROM conversations""",
         "judge_numbers": f"SELECT event_id, CASE WHEN x IS NULL THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, x)) END AS score FROM (SELECT event_id, {NUMBER} AS x FROM events)",
         "pool_merge": ctes(POOL) + " SELECT query_id, rank, chunk_id, source FROM kept JOIN (SELECT chunk_id, source FROM chunks) USING (chunk_id) WHERE rank <= 5",
+        "agent_rounds": ctes(ROUNDS)
+        + f""" SELECT query_id, current_query, array_to_string(sources, ',') AS sources, attempts, sufficient, verdict,
+  CASE WHEN n_passages = 0 THEN {quoted(REFUSAL)} ELSE split_part(passages, {SEP}, 1) END AS answer, n_passages FROM finished""",
         "pending_items": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "progress_counts": "SELECT count(*) AS total, count(*) FILTER (d) AS done, count(*) FILTER (NOT d) AS to_do FROM (SELECT doc_id IN (SELECT doc_id FROM labels) AS d FROM documents)",
         "ingest_resume": """SELECT doc_id, source, length(text) AS n_chars FROM documents d WHERE NOT EXISTS

@@ -99,6 +99,15 @@ def test_stored_index_gives_the_same(spark, queries, expected, tmp_path, limit):
     assert as_dict(lexical.bm25_scores(queries, lexical.load_index(spark, path), cfg)) == expected
 
 
+def test_few_terms_are_pushed_into_the_scan_of_stored_postings(spark, tmp_path):
+    path = str(tmp_path / "index")
+    lexical.save_index(lexical.build_index(corpus(spark)), path)
+    one = spark.createDataFrame([("q", "tutorat cours")], "query_id string, question string")
+    scores = lexical.bm25_scores(one, lexical.load_index(spark, path))
+    assert "PushedFilters: [In(term, [cours,tutorat])" in scores._jdf.queryExecution().executedPlan().toString()
+    assert as_dict(scores)["q"].keys() == {2, 4}
+
+
 def test_top_k_breaks_ties_by_id(spark):
     rows = [("q", i, 1.0) for i in range(10)] + [("q", 10, 2.0)]
     got = lexical.top_k(spark.createDataFrame(rows, "query_id string, chunk_id int, score double"), 3)
