@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.config import DEFAULT, RetrievalConfig
 from gleaner.functions.sizes import fits, hinted
@@ -206,8 +207,40 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def zero_fill(queries: DataFrame, scored: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """Unmatched chunks with score 0 for the queries that match fewer than ``k`` chunks.
+
+    The first chunks by id are enough: with fewer than k matches, at least as many of the first k
+    allowed chunks as are needed are unmatched. So a query meets k rows per allowed source at most.
+    """
+    asked = with_sources(queries).select("query_id", "sources")
+    counts = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("matches"))
+    short = asked.join(counts, "query_id", "left").filter(F.coalesce("matches", F.lit(0)) < k)
+    anywhere = [r["chunk_id"] for r in chunks.select("chunk_id").orderBy("chunk_id").limit(k).collect()]
+    id_type = chunks.schema["chunk_id"].dataType
+    everywhere = short.filter("sources is null").select(
+        "query_id", F.explode(F.array(*[F.lit(c).cast(id_type) for c in anywhere]).cast(T.ArrayType(id_type))).alias("chunk_id")
+    )
+    of_source = Window.partitionBy("source").orderBy("chunk_id")
+    first = chunks.select("chunk_id", "source").withColumn("n", F.row_number().over(of_source)).filter(F.col("n") <= k)
+    named = short.select("query_id", F.explode("sources").alias("source")).distinct()
+    by_source = named.join(first, "source").select("query_id", "chunk_id")
+    fresh = everywhere.unionByName(by_source).join(
+        scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti"
+    )
+    return fresh.withColumn("score", F.lit(0.0))
+
+
 def bm25_top_k(queries: DataFrame, index: LexicalIndex, k: int | None = None,
                cfg: RetrievalConfig = DEFAULT) -> DataFrame:
-    """``(query_id, chunk_id, rank, score)``."""
-    ranked = top_k(bm25_scores(queries, index, cfg), k or cfg.k_retrieve)
-    return ranked.select("query_id", "chunk_id", "rank", "score")
+    """``(query_id, chunk_id, rank, score)``. With ``cfg.fill_zero``, chunks without any common term
+    fill the list up in id order."""
+    k = k or cfg.k_retrieve
+    scored = bm25_scores(queries, index, cfg)
+    best = top_k(scored, k).select("query_id", "chunk_id", "rank", "score")
+    if not cfg.fill_zero:
+        return best
+    best = materialize(best, "ranked")
+    fill = zero_fill(queries, best, index.tokens, k)
+    both = best.select("query_id", "chunk_id", "score").unionByName(fill)
+    return top_k(both, k).select("query_id", "chunk_id", "rank", "score")

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.config import DEFAULT
+from gleaner.functions.replies import judge_number
 from gleaner.functions.sizes import fits, hinted
 from gleaner.functions.text import is_blank, or_unknown, sentences, split_tokens, strip, token_text, tokenize
-from gleaner.operators.prompts import REFUSAL
+from gleaner.operators.models import Step
+from gleaner.operators.prompts import JUDGE_TEMPLATE, REFUSAL, fill
 from gleaner.operators.vectors import cosine, hashed_vectors
 
 METRICS = ("faithfulness", "answer_relevancy", "context_precision", "context_recall", "answer_correctness")
@@ -53,11 +55,22 @@ def supported(statement: Column, evidence: Column) -> Column:
     return (found / F.size(asked) >= SUPPORTED).cast("int")
 
 
-def verdicts(told: DataFrame, evidence: DataFrame, column: str) -> DataFrame:
+def rule_judge(df: DataFrame) -> DataFrame:
+    return df.withColumn("reply", supported(F.col("statement"), F.col("evidence")).cast("string"))
+
+
+def judged(pairs: DataFrame, judge: Step = rule_judge, template: str = JUDGE_TEMPLATE) -> DataFrame:
+    """Adds ``verdict`` to ``pairs(statement, evidence, …)``: 1 where the judge's number is at least
+    one half."""
+    prompt = fill(template, statement=F.col("statement"), evidence=F.col("evidence"))
+    told = judge(pairs.withColumn("prompt", prompt))
+    return told.withColumn("verdict", (judge_number(F.col("reply")) >= 0.5).cast("int"))
+
+
+def verdicts(told: DataFrame, evidence: DataFrame, column: str, judge: Step = rule_judge) -> DataFrame:
     """``(id, statement_no, statement, verdict)`` against the evidence text of the same id."""
-    return told.join(evidence.select("id", F.col(column).alias("_evidence")), "id").select(
-        "id", "statement_no", "statement", supported(F.col("statement"), F.col("_evidence")).alias("verdict")
-    )
+    pairs = told.join(evidence.select("id", F.col(column).alias("evidence")), "id")
+    return judged(pairs, judge).select("id", "statement_no", "statement", "verdict")
 
 
 def verdict_share(judged: DataFrame, out: str) -> DataFrame:
@@ -122,6 +135,14 @@ def answer_correctness(answer_judged: DataFrame, reference_judged: DataFrame, si
     )
 
 
+def score_table(samples: DataFrame, *measures: DataFrame) -> DataFrame:
+    """One row per sample with every measure, joined by id; a measure without a row stays NULL."""
+    scores = samples.select("id", F.col("user_input").alias("question"))
+    for measure in measures:
+        scores = scores.join(measure, "id", "left")
+    return scores
+
+
 def with_metadata(scores: DataFrame, questions: DataFrame) -> DataFrame:
     """Looks up level, source and difficulty by id; missing ones are empty strings."""
     meta = questions.select("id", "niveau", "source", "difficulte_rag")

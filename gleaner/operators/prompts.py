@@ -31,6 +31,11 @@ REWRITE_TEMPLATE = (
     "Question : {question}\nRequête déjà essayée : {query}\nCe qui manque : {verdict}\n"
     "Propose une nouvelle requête de recherche, seule."
 )
+JUDGE_TEMPLATE = (
+    "Texte de référence :\n{evidence}\n\nAffirmation :\n{statement}\n\n"
+    "Note de 0 à 1 : l'affirmation est-elle appuyée par le texte ? Réponds par un nombre."
+)
+REGENERATE_TEMPLATE = "Écris les questions, une par ligne, auxquelles ce texte répond :\n{answer}"
 CONTEXT_TEMPLATE = (
     "Fichier : {source}\nPage :\n{page}\n\nPassage :\n{chunk}\n\n"
     "Situe ce passage en une phrase courte."

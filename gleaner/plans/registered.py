@@ -6,13 +6,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.config import DEFAULT
 from gleaner.functions import replies, text
 from gleaner.operators import batch, chunking, fusion, lexical, metrics, prompts, vectors
-from gleaner.plans import agent, ask, retrieve
+from gleaner.plans import agent, ask, evaluate, retrieve
 from gleaner.sources import pages as page_sources
 from gleaner.sources import records, store
 from gleaner.sources.scratch import scratch_path
@@ -158,6 +160,21 @@ def bm25_by_source(spark, sf_dir):
     return lexical.bm25_top_k(asked, lexical.build_index(docs))
 
 
+def bm25_filled(spark, sf_dir):
+    """Questions made of one source name, which no document holds, next to the real ones: short lists
+    are filled with unmatched documents."""
+    docs = documents(spark, sf_dir)
+    names = docs.select("source").distinct().select(
+        F.col("source").alias("query_id"), F.col("source").alias("question"), F.array("source").alias("sources")
+    )
+    asked = names.unionByName(
+        questions(spark, sf_dir).select(F.col("query_id").cast("string"), "question",
+                                        F.lit(None).cast("array<string>").alias("sources"))
+    )
+    cfg = replace(DEFAULT, fill_zero=True)
+    return lexical.bm25_top_k(asked, lexical.build_index(docs, cfg), cfg=cfg)
+
+
 def embedded(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("source"),
@@ -390,14 +407,7 @@ def recall_at_5(spark, sf_dir):
 
 
 def eval_samples(spark, sf_dir):
-    told = lexical_passages(spark, sf_dir)
-    rows = told.groupBy(F.col("query_id").alias("id"), "question").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "source", "page", F.col("text").alias("content")))).alias("chunks")
-    )
-    samples, _ = metrics.eval_samples(
-        rows.withColumn("reponse_llm", F.get("chunks", F.lit(0))["content"])
-        .withColumn("reponse_attendue", F.col("question"))
-    )
+    samples, _ = metrics.eval_samples(run_results(spark, sf_dir))
     return samples.select(
         "id", "user_input", "response", F.array_join("retrieved_contexts", "\n|\n").alias("contexts"), "reference"
     )
@@ -459,6 +469,24 @@ def answer_correctness(spark, sf_dir):
     return metrics.answer_correctness(of_answer, of_reference, alike)
 
 
+def run_results(spark, sf_dir) -> DataFrame:
+    """Result records of a lexical run: the answer is the best passage, the question its reference."""
+    told = lexical_passages(spark, sf_dir)
+    rows = told.groupBy(F.col("query_id").alias("id"), "question").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "source", "page", F.col("text").alias("content")))).alias("chunks")
+    )
+    return rows.select(
+        "id", "question", F.get("chunks", F.lit(0))["content"].alias("reponse_llm"),
+        F.col("question").alias("reponse_attendue"), "chunks",
+    )
+
+
+def score_table(spark, sf_dir):
+    """All five measures of a run, joined by id."""
+    scores, _ = evaluate.evaluate(run_results(spark, sf_dir))
+    return scores.drop("question")
+
+
 def labelled_scores(spark, sf_dir) -> DataFrame:
     """Score rows out of the labels: level is the language, NaN where a document is toxic."""
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
@@ -499,11 +527,11 @@ def refusal_rate(spark, sf_dir):
 REGISTERED = (
     tokenize_counts, encoding_repair, display_lines, page_markdown, contents_pages, header_sections, merge_small,
     chunk_windows, chunk_recursive, context_prefix, page_chunks, document_chunks, term_idf, bm25_top20,
-    bm25_by_source, vector_top20, vector_filtered, hashed_vectors, hashed_top20, rrf_fusion,
+    bm25_by_source, bm25_filled, vector_top20, vector_filtered, hashed_vectors, hashed_top20, rrf_fusion,
     rrf_diverse_top10, rerank_top5, context_assembly, grounded_answers, chat_last_turn, chat_last_user,
     chat_envelope, source_replies, grade_replies, judge_numbers, pool_merge, agent_rounds, pending_items,
     progress_counts, ingest_resume, result_records, store_scan, source_listing, stream_windows,
     planted_passages, recall_at_5, eval_samples, claim_verdicts, faithfulness, context_recall,
-    answer_relevancy, context_precision, answer_correctness, metric_report, score_metadata, gold_profile,
+    answer_relevancy, context_precision, answer_correctness, score_table, metric_report, score_metadata, gold_profile,
     refusal_rate,
 )

@@ -309,6 +309,26 @@ CORRECT = ",\n".join([
     """f AS (SELECT id, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn FROM va FULL JOIN vr USING (id))""",
 ])
 
+# The five measures of a run; contexts carry their source line.
+SCORES = ",\n".join([
+    PASSAGES,
+    f"""judged AS (SELECT query_id AS id, any_value(question) AS reference, arg_min(text, rank) AS answer,
+  string_agg('[Source : ' || source || E' — p.?]\\n' || text, {SEP} ORDER BY rank) AS context FROM hits GROUP BY query_id)""",
+    statements("sa", "answer"), statements("sr", "reference"),
+    f"""va AS MATERIALIZED (SELECT id, {verdict('statement', 'context')} AS c, {verdict('statement', 'reference')} AS r FROM sa)""",
+    f"""vr AS MATERIALIZED (SELECT id, {verdict('statement', 'context')} AS c, {verdict('statement', 'answer')} AS a FROM sr)""",
+    f"""vp AS (SELECT query_id AS id, rank, {verdict('question', "'[Source : ' || source || ' — p.?]' || chr(10) || text")} AS v FROM hits)""",
+    "pp AS (SELECT *, sum(v) OVER (PARTITION BY id ORDER BY rank) / rank AS prec FROM vp)",
+    "st AS (SELECT * FROM sa)",
+    RELEVANCY,
+    f"aw AS (SELECT id, unnest({tokens('answer')}) AS term FROM judged)", f"av AS ({unique('aw', 'id')})",
+    "alike2 AS (SELECT id, sum(rv.w * av.w) AS sim FROM rv JOIN av USING (id, bucket) GROUP BY id)",
+    """m1 AS (SELECT id, round(avg(c), 6) AS faithfulness, count(*) FILTER (r = 1) AS tp, count(*) FILTER (r = 0) AS fp FROM va GROUP BY id)""",
+    "m2 AS (SELECT id, round(avg(c), 6) AS context_recall, count(*) FILTER (a = 0) AS fn FROM vr GROUP BY id)",
+    "m3 AS (SELECT id, round(avg(sim), 6) AS answer_relevancy FROM sims GROUP BY id)",
+    "m4 AS (SELECT id, CASE WHEN sum(v) = 0 THEN 0.0 ELSE round(sum(prec * v) / sum(v), 6) END AS context_precision FROM pp GROUP BY id)",
+])
+
 RESULTS = PASSAGES + r""",
 built AS (SELECT query_id, rank, source, text, question, first_value(text) OVER (PARTITION BY query_id ORDER BY rank) AS reply FROM hits)"""
 
@@ -335,6 +355,15 @@ def oracle_sql() -> dict[str, str]:
                 ", total  GROUP", ", total WHERE wanted IS NULL OR wanted = source GROUP"),
             ranked("r", "scored", 20),
         ) + " SELECT query_id, chunk_id, rank, score FROM r",
+        "bm25_filled": ctes(CHUNKS, STATS, f"""asked AS (SELECT DISTINCT source AS query_id, source AS question, [source] AS sources FROM documents
+  UNION ALL SELECT CAST(item_id AS VARCHAR), text, NULL FROM benchmark),
+qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tokens('question')}) AS term FROM asked) GROUP BY ALL)""",
+            scored().replace("FROM qt JOIN", "FROM qt JOIN asked USING (query_id) JOIN").replace(
+                ", total  GROUP", ", total WHERE sources IS NULL OR list_contains(sources, source) GROUP"),
+            """filled AS (SELECT a.query_id, d.chunk_id, coalesce(s.score, 0) AS score FROM asked a CROSS JOIN dl d
+  LEFT JOIN scored s ON s.query_id = a.query_id AND s.chunk_id = d.chunk_id
+  WHERE a.sources IS NULL OR list_contains(a.sources, d.source))""",
+            ranked("r", "filled", 20)) + " SELECT query_id, chunk_id, rank, score FROM r",
         "vector_top20": nearest(False),
         "vector_filtered": nearest(True),
         "hashed_vectors": ctes(CHUNKS, "occ AS (SELECT chunk_id, unnest(tok) AS term FROM chunks)")
@@ -391,6 +420,10 @@ p AS (SELECT *, sum(v) OVER (PARTITION BY id ORDER BY rank) / rank AS prec FROM
         "answer_correctness": ctes(CORRECT)
         + """ SELECT id, tp, fp, fn, round(0.75 * CASE WHEN tp + fp + fn = 0 THEN 0.0 ELSE tp / (tp + 0.5 * (fp + fn)) END
   + 0.25 * coalesce(sim, 0.0), 6) AS answer_correctness FROM f LEFT JOIN sim USING (id)""",
+        "score_table": ctes(SCORES) + """ SELECT id, faithfulness, answer_relevancy, context_precision, context_recall,
+  CASE WHEN tp IS NULL AND fn IS NULL THEN NULL ELSE round(0.75 * CASE WHEN coalesce(tp, 0) + coalesce(fp, 0) + coalesce(fn, 0) = 0 THEN 0.0
+    ELSE coalesce(tp, 0) / (coalesce(tp, 0) + 0.5 * (coalesce(fp, 0) + coalesce(fn, 0))) END + 0.25 * coalesce(sim, 0.0), 6) END AS answer_correctness
+  FROM judged LEFT JOIN m1 USING (id) LEFT JOIN m2 USING (id) LEFT JOIN m3 USING (id) LEFT JOIN m4 USING (id) LEFT JOIN alike2 USING (id)""",
         "metric_report": ctes(LABELLED) + """ SELECT niveau, CAST(grouping(niveau) AS INT) AS is_total, count(*) AS n,
   round(avg(faithfulness), 6) AS faithfulness, round(avg(answer_correctness), 6) AS answer_correctness,
   repeat('█', CAST(floor(round(avg(faithfulness), 6) * 20) AS INT)) AS bar FROM s GROUP BY ROLLUP (niveau)""",
