@@ -46,6 +46,12 @@ def is_blank(col: Column) -> Column:
     return ~col.rlike(f"[^{BLANKS}]")
 
 
+def unless_blank(col: Column) -> Column:
+    """Array of the text, or an empty array for a blank one. Exploding it drops blank texts without
+    computing an expensive ``col`` a second time in a filter below the projection."""
+    return F.filter(F.array(col), lambda t: ~is_blank(t))
+
+
 def lines(col: Column) -> Column:
     return F.split(col, LINE_BREAK)
 

@@ -31,10 +31,12 @@ _MASK = "\ue000"
 
 
 def is_contents_page(text: Column) -> Column:
-    """More than 30 % of the non-blank lines hold dot leaders."""
+    """More than 30 % of the non-blank lines hold dot leaders. Texts without any are not cut up."""
     filled = F.filter(F.transform(lines(text), strip), lambda s: s != "")
     dotted = F.filter(filled, lambda s: s.contains(". . .") | s.contains("..."))
-    return F.when(F.size(filled) == 0, False).otherwise(F.size(dotted) / F.size(filled) > CONTENTS_SHARE)
+    has_dots = text.contains(". . .") | text.contains("...")
+    share = F.when(has_dots, F.size(dotted) / F.size(filled))
+    return F.coalesce(share > CONTENTS_SHARE, F.lit(False))
 
 
 def without_blank_pages(pages: DataFrame) -> DataFrame:
@@ -249,10 +251,12 @@ def contextualize(chunks: DataFrame, step: Step = rule_context, template: str =
 def split_pages(pages: DataFrame, step: Step = rule_context, compact: bool = False) -> DataFrame:
     """``pages(source, page, text)`` to chunks: contents pages and blank pages out, heading sections,
     merging, size split, minimum content, context line, id."""
-    kept = without_blank_pages(pages).filter(~is_contents_page(F.col("text")))
-    merged = kept.select(
-        "source", "page", F.col("text").alias("page_text"),
-        F.posexplode(merge_small(sections(F.col("text"), compact))).alias("part_no", "part"),
+    text = F.col("text")
+    # Inside the row rather than as filters, which would compute a derived text once more.
+    left_out = is_blank(text) | is_contents_page(text)
+    parts = F.when(~left_out, merge_small(sections(text, compact)))
+    merged = pages.select(
+        "source", "page", text.alias("page_text"), F.posexplode(parts).alias("part_no", "part")
     )
     bodies = merged.select(
         "source", "page", "page_text", "part_no", "part.h1", "part.h2", "part.h3",

@@ -67,10 +67,23 @@ def judged(pairs: DataFrame, judge: Step = rule_judge, template: str = JUDGE_TEM
     return told.withColumn("verdict", (judge_number(F.col("reply")) >= 0.5).cast("int"))
 
 
-def verdicts(told: DataFrame, evidence: DataFrame, column: str, judge: Step = rule_judge) -> DataFrame:
-    """``(id, statement_no, statement, verdict)`` against the evidence text of the same id."""
-    pairs = told.join(evidence.select("id", F.col(column).alias("evidence")), "id")
-    return judged(pairs, judge).select("id", "statement_no", "statement", "verdict")
+def verdicts(told: DataFrame, evidence: DataFrame, column: str, judge: Step | None = None) -> DataFrame:
+    """``(id, statement_no, statement, verdict)`` against the evidence text of the same id.
+
+    Without a judge, statements and evidence meet as (id, token) rows, so the evidence is tokenised
+    once and not per statement.
+    """
+    if judge is not None:
+        pairs = told.join(evidence.select("id", F.col(column).alias("evidence")), "id")
+        return judged(pairs, judge).select("id", "statement_no", "statement", "verdict")
+    asked = told.join(evidence.select("id").distinct(), "id", "left_semi").select(
+        "id", "statement_no", "statement",
+        F.explode(F.array_distinct(tokenize(F.col("statement")))).alias("term"),
+    )
+    held = evidence.select("id", F.explode(F.array_distinct(tokenize(F.col(column)))).alias("term"))
+    hits = asked.join(held.withColumn("hit", F.lit(1)), ["id", "term"], "left")
+    share = F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1))
+    return hits.groupBy("id", "statement_no", "statement").agg((share >= SUPPORTED).cast("int").alias("verdict"))
 
 
 def verdict_share(judged: DataFrame, out: str) -> DataFrame:
@@ -212,7 +225,9 @@ def planted_passages(passages: DataFrame, tokens: DataFrame, terms: DataFrame) -
     ).join(anchors, "term")
     hay = tokens.select("chunk_id", F.concat(F.lit(" "), "norm", F.lit(" ")).alias("hay"))
     found = holders.select("chunk_id", "query_id", "needle").join(hay, "chunk_id")
-    return found.filter(F.contains("hay", "needle")).select("query_id", "chunk_id")
+    # coalesce keeps the optimizer from testing the token text for NULL below the exchange.
+    held = F.coalesce(F.contains("hay", "needle"), F.lit(False))
+    return found.filter(held).select("query_id", "chunk_id")
 
 
 def recall_at(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:

@@ -23,7 +23,7 @@ def _vectors(texts: DataFrame, key: list[str], text: str, embed: Step | None) ->
     return embed(texts.select(*key, F.col(text).alias("text"))).select(*key, "vector")
 
 
-def evaluate(results: DataFrame, judge: Step = metrics.rule_judge, regenerate: Step = rule_regenerate,
+def evaluate(results: DataFrame, judge: Step | None = None, regenerate: Step = rule_regenerate,
              embed: Step | None = None) -> tuple[DataFrame, DataFrame]:
     """``(scores, skipped)`` of result records: id, question and the five measures.
 
@@ -42,7 +42,7 @@ def evaluate(results: DataFrame, judge: Step = metrics.rule_judge, regenerate: S
         "id", F.col("reference").alias("statement"), F.posexplode("retrieved_contexts").alias("pos", "evidence")
     )
     precision = metrics.context_precision(
-        metrics.judged(passages, judge).select("id", (F.col("pos") + 1).alias("rank"), "verdict")
+        metrics.judged(passages, judge or metrics.rule_judge).select("id", (F.col("pos") + 1).alias("rank"), "verdict")
     )
     asked = regenerate(told.withColumn("prompt", fill(REGENERATE_TEMPLATE, answer=F.col("response"))))
     relevancy = metrics.answer_relevancy(

@@ -23,8 +23,12 @@ from gleaner.streaming.ingest import ingest_stream
 TOP = DEFAULT.k_final
 
 
+TEXT_TABLES = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return page_sources.spread(rows) if name in TEXT_TABLES else rows
 
 
 def documents(spark, sf_dir) -> DataFrame:
@@ -199,12 +203,14 @@ def vector_filtered(spark, sf_dir):
     return vectors.nearest(asked, embedded(spark, sf_dir))
 
 
-def hashed_vectors(spark, sf_dir):
+def document_vectors(spark, sf_dir) -> DataFrame:
     tokens = lexical.tokenized(documents(spark, sf_dir)).repartition("chunk_id")
-    made = vectors.hashed_vectors(tokens, ["chunk_id"])
-    return made.select("chunk_id", F.posexplode("vector").alias("bucket", "w")).filter("w > 0").select(
-        "chunk_id", "bucket", F.round("w", 6).alias("weight")
-    )
+    return vectors.hashed_vectors(tokens, ["chunk_id", "source"])
+
+
+def hashed_vectors(spark, sf_dir):
+    weights = document_vectors(spark, sf_dir).select("chunk_id", F.posexplode("vector").alias("bucket", "w"))
+    return weights.filter("w > 0").select("chunk_id", "bucket", F.round("w", 6).alias("weight"))
 
 
 def corpus(spark, sf_dir) -> retrieve.Corpus:
@@ -213,7 +219,7 @@ def corpus(spark, sf_dir) -> retrieve.Corpus:
 
 def hashed_top20(spark, sf_dir):
     asked = retrieve.query_vectors(questions(spark, sf_dir))
-    return vectors.nearest(asked, corpus(spark, sf_dir).embeddings)
+    return vectors.nearest(asked, document_vectors(spark, sf_dir))
 
 
 # Fusion, rerank, prompts

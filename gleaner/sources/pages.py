@@ -7,7 +7,7 @@ import logging
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import is_blank, repair_encoding
+from gleaner.functions.text import repair_encoding, unless_blank
 
 log = logging.getLogger(__name__)
 
@@ -17,6 +17,13 @@ WHOLE_TEXT = ("txt",)
 PAGE_TABLES = ("json", "jsonl", "parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table read in fewer splits than there are cores is dealt out to all of them, since work per
+    text is heavy. Larger inputs have more splits than cores and are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _glob(suffix: str) -> str:
     return "*." + "".join(f"[{c.lower()}{c.upper()}]" for c in suffix)
 
@@ -44,8 +51,8 @@ def read_page_tables(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     rows = reader.parquet(path) if suffix == "parquet" else reader.json(path)
     return rows.select(
         F.coalesce("source", _file_name()).alias("source"), "page",
-        repair_encoding(F.col("text")).alias("text"),
-    ).filter(~is_blank(F.col("text")))
+        F.explode(unless_blank(repair_encoding(F.col("text")))).alias("text"),
+    )
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -115,5 +122,5 @@ def from_html(pages: DataFrame) -> DataFrame:
     return pages.select(
         F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("source"),
         F.col("page_id").cast("int").alias("page"),
-        html_to_markdown(F.col("html")).alias("text"),
-    ).filter(~is_blank(F.col("text")))
+        F.explode(unless_blank(html_to_markdown(F.col("html")))).alias("text"),
+    )

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import lexical, metrics
+from gleaner.plans import evaluate
 
 
 @pytest.mark.parametrize("verdicts, expected", [([1, 0, 1], 0.833333), ([0, 0], 0.0), ([1], 1.0), ([0, 1], 0.5)])
@@ -57,6 +58,35 @@ def test_faithfulness_and_correctness(spark):
     assert (r.tp, r.fp, r.fn) == (1, 1, 1) and r.answer_correctness == pytest.approx(0.75 * 0.5 + 0.25 * 0.8)
 
 
+def test_rule_judge_equals_token_join(spark):
+    told = metrics.statements(
+        spark.createDataFrame([("a", "Un deux trois. Quatre cinq! Deux, deux"), ("b", "Seul"), ("c", "Sans preuve")],
+                              "id string, t string"), "t")
+    ev = spark.createDataFrame([("a", "un deux trois cinq"), ("b", "!")], "id string, e string")
+    key = lambda df: sorted((r.id, r.statement_no, r.statement, r.verdict) for r in df.collect())
+    expected = [("a", 0, "Un deux trois", 1), ("a", 1, "Quatre cinq", 0), ("a", 2, "Deux, deux", 1), ("b", 0, "Seul", 0)]
+    assert key(metrics.verdicts(told, ev, "e")) == expected
+    assert key(metrics.verdicts(told, ev, "e", metrics.rule_judge)) == expected
+
+
+def test_evaluate_a_run(spark):
+    schema = ("id string, question string, reponse_llm string, reponse_attendue string, "
+              "chunks array<struct<source:string,page:int,content:string>>")
+    rows = [
+        ("a", "duree du stage", "Le stage dure quatre mois.", "Le stage dure quatre mois.",
+         [("s", 1, "Le stage dure quatre mois en tout"), ("s", 2, "autre chose")]),
+        ("b", "q", "r", "x", []),
+    ]
+    scores, skipped = evaluate.evaluate(spark.createDataFrame(rows, schema))
+    (r,) = scores.collect()
+    assert (r.id, r.question, r.faithfulness, r.context_recall, r.context_precision, r.answer_correctness) == (
+        "a", "duree du stage", 1.0, 1.0, 1.0, 1.0)
+    assert 0 < r.answer_relevancy < 1 and [s.id for s in skipped.collect()] == ["b"]
+    harsh, _ = evaluate.evaluate(
+        spark.createDataFrame(rows, schema), judge=lambda df: df.withColumn("reply", F.lit("note : 0,2")))
+    assert harsh.first().faithfulness == 0.0 and harsh.first().context_precision == 0.0
+
+
 def test_relevancy_of_the_same_text_is_one(spark):
     texts = spark.createDataFrame([("a", 0, "quatre mois de stage"), ("b", 0, "autre chose")], "id string, statement_no int, t string")
     q = metrics.text_vectors(texts.filter("id = 'a'"), ["id"], "t")
