@@ -42,11 +42,12 @@ def tokenized(chunks: DataFrame) -> DataFrame:
     )
 
 
-def term_counts(tokens: DataFrame) -> DataFrame:
+def term_counts(chunks: DataFrame) -> DataFrame:
     """``(term, df, dl_part)``: chunks holding the term. ``dl_part`` adds up to the corpus length,
     since each chunk hands its length to its first term."""
+    words = chunks.select(tokenize(F.col("text")).alias("words"))
     return (
-        tokens.select("dl", F.posexplode(F.array_distinct(split_tokens(F.col("norm")))).alias("pos", "term"))
+        words.select(F.size("words").alias("dl"), F.posexplode(F.array_distinct("words")).alias("pos", "term"))
         .groupBy("term")
         .agg(
             F.count(F.lit(1)).alias("df"),
@@ -55,13 +56,13 @@ def term_counts(tokens: DataFrame) -> DataFrame:
     )
 
 
-def term_statistics(tokens: DataFrame, n_chunks: int, cfg: RetrievalConfig = DEFAULT):
+def term_statistics(chunks: DataFrame, n_chunks: int, cfg: RetrievalConfig = DEFAULT):
     """``terms(term, df, idf)`` and the mean chunk length.
 
     A negative idf becomes epsilon times the mean raw idf over all terms. The vocabulary is written
     once: the mean and every later lookup read it back instead of tokenising the corpus again.
     """
-    counts = materialize(term_counts(tokens), "terms")
+    counts = materialize(term_counts(chunks), "terms")
     raw = F.log(F.lit(n_chunks) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     seen = counts.agg(F.avg(raw).alias("mean_idf"), F.sum("dl_part").alias("length")).first()
     floor = cfg.bm25_epsilon * (seen["mean_idf"] or 0.0)
@@ -73,7 +74,7 @@ def build_index(chunks: DataFrame, cfg: RetrievalConfig = DEFAULT) -> LexicalInd
     """Index over ``chunks(chunk_id, source, text)``; statistics always cover the whole corpus."""
     tokens = tokenized(chunks)
     n_chunks = chunks.count()
-    terms, avgdl = term_statistics(tokens, n_chunks, cfg)
+    terms, avgdl = term_statistics(chunks, n_chunks, cfg)
     return LexicalIndex(by_chunk(tokens, n_chunks * avgdl, cfg), terms, avgdl)
 
 

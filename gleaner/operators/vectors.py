@@ -72,6 +72,10 @@ def checked_dimension(vectors: DataFrame, dim: int) -> DataFrame:
     )
 
 
+# Score of a pair that may not be found, below every scaled cosine.
+EXCLUDED = -(10**12)
+
+
 def _best(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int):
     """The first k entries of every query by descending score, then id."""
     order = np.lexsort((ids, -score, query))
@@ -83,18 +87,22 @@ def _best(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int):
 
 
 def _search_block(vectors: DataFrame, rows: list, id_type, k: int, cfg: RetrievalConfig) -> DataFrame:
-    """Scores one bounded block of queries against every vector, each task keeping its own best k."""
+    """Scores one bounded block of queries against every vector, each task keeping its own best k.
+
+    Cosines are kept as whole numbers of the last decimal place.
+    """
     query_ids = [r["query_id"] for r in rows]
     matrix = np.array([r["vector"] for r in rows], dtype=np.float64)
     matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
     allowed = [None if r["sources"] is None else set(r["sources"]) for r in rows]
     restricted = [i for i, a in enumerate(allowed) if a is not None]
-    places, tile = cfg.score_places, 256
+    unit, tile = 10**cfg.score_places, 256
     arrow_id = pa.int64() if isinstance(id_type, T.LongType) else None
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.array([], dtype=np.int64)
-        best = (none, np.array([], dtype=np.float64), np.array([], dtype=object))
+        best = (none, none, np.array([], dtype=object))
+        floor = np.full(len(matrix), EXCLUDED)  # the k-th best score so far, per query
         chunk_type = None
         for batch in batches:
             chunk_type = batch.schema.field("chunk_id").type
@@ -103,31 +111,44 @@ def _search_block(vectors: DataFrame, rows: list, id_type, k: int, cfg: Retrieva
             if n == 0:
                 continue
             ids = np.array(batch.column("chunk_id").to_pylist(), dtype=object)
+            order = np.argsort(ids)
+            ids = ids[order]
             flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
-            data = flat.astype(np.float64).reshape(n, -1)
+            data = flat.astype(np.float64).reshape(n, -1)[order]
             length = np.linalg.norm(data, axis=1, keepdims=True)
             data /= np.where(length > 0, length, 1.0)
             # A zero vector has no direction and is never found.
             nowhere = length[:, 0] == 0
-            sources = np.array(batch.column("source").to_pylist(), dtype=object)
+            sources = np.array(batch.column("source").to_pylist(), dtype=object)[order] if restricted else None
             found = [best]
             for lo in range(0, len(matrix), tile):
-                score = np.round(data @ matrix[lo : lo + tile].T, places)
-                score[nowhere] = -np.inf
+                score = np.rint(data @ matrix[lo : lo + tile].T * unit).astype(np.int64)
+                score[nowhere] = EXCLUDED
                 for q in restricted:
                     if lo <= q < lo + tile:
-                        score[[s not in allowed[q] for s in sources], q - lo] = -np.inf
-                # Ties with the k-th score stay in; the exact cut follows on (score, id).
-                edge = np.partition(score, n - k, axis=0)[n - k] if n > k else -np.inf
-                row, col = np.nonzero((score >= edge) & (score > -np.inf))
-                found.append((col + lo, score[row, col], ids[row]))
+                        score[[s not in allowed[q] for s in sources], q - lo] = EXCLUDED
+                if n > k:
+                    # Score and place in id order in one number: no ties, so the cut is exact even
+                    # where many copies share a score.
+                    single = score * n + np.arange(n - 1, -1, -1)[:, None]
+                    row = np.argpartition(single, n - k, axis=0)[n - k :]
+                else:
+                    row = np.repeat(np.arange(n)[:, None], score.shape[1], axis=1)
+                col = np.broadcast_to(np.arange(row.shape[1]), row.shape)
+                value = score[row, col]
+                keep = (value > EXCLUDED) & (value >= floor[col + lo])
+                found.append((col[keep] + lo, value[keep], ids[row[keep]]))
             best = _best(*(np.concatenate(part) for part in zip(*found)), k)
+            counts = np.bincount(best[0], minlength=len(matrix))
+            lowest = np.full(len(matrix), np.iinfo(np.int64).max)
+            np.minimum.at(lowest, best[0], best[1])
+            floor = np.where(counts >= k, lowest, EXCLUDED)
         if chunk_type is not None:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([query_ids[q] for q in best[0]], type=arrow_id),
                     pa.array(list(best[2]), type=chunk_type),
-                    pa.array(best[1], type=pa.float64()),
+                    pa.array(best[1] / unit, type=pa.float64()),
                 ],
                 names=["query_id", "chunk_id", "score"],
             )

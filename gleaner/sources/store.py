@@ -12,9 +12,9 @@ ROWS_PER_FILE = 1_000_000
 
 
 def _by_source(chunks: DataFrame) -> DataFrame:
-    """Gathers the rows of a source for writing. Rebalancing splits a dominant source over several
+    """One row per content id, gathered by source for writing. Rebalancing splits a dominant source over several
     tasks and joins small ones, so neither one huge task nor a file per task and source results."""
-    return chunks.withColumn("source_key", F.coalesce("source", F.lit("?"))).hint(
+    return chunks.dropDuplicates(["chunk_id"]).withColumn("source_key", F.coalesce("source", F.lit("?"))).hint(
         "rebalance", F.col("source_key")
     )
 

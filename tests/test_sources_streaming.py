@@ -78,7 +78,7 @@ def test_store(spark, tmp_path):
     path = str(tmp_path / "store")
     rows = [("1", "a.txt", "x"), ("2", "b.txt", "y"), ("3", None, "z")]
     df = spark.createDataFrame(rows, "chunk_id string, source string, text string")
-    store.write_store(df, path)
+    store.write_store(df.union(df), path)
     store.write_store(df, path)
     assert sorted(map(tuple, store.read_store(spark, path).collect()), key=str) == sorted(rows, key=str)
     store.write_store(spark.createDataFrame([("4", "b.txt", "new")], df.schema), path)
