@@ -1,9 +1,12 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.config import RetrievalConfig
 from gleaner.operators import batch
-from gleaner.plans import agent, retrieve
+from gleaner.plans import agent, retrieve, runs
+from gleaner.sources.records import read_results
 
 CHUNKS = [
     (1, "ens.txt", "la formation dure trois ans avec un stage obligatoire"),
@@ -100,3 +103,25 @@ def test_unseen_pages_go_by_content(spark):
     key = batch.page_key(F.col("source"), F.col("page"), F.col("text")).alias("page_key")
     fresh = batch.unseen_pages(pages, stored.select(key)).select("source", "page", "text").collect()
     assert sorted(map(tuple, fresh)) == [("a", 1, "x changed"), ("a", 2, "x")]
+
+
+def test_batch_resumes(spark, corpus, tmp_path):
+    path = str(tmp_path / "results")
+    rows = [("a", "stage de master", "quatre mois"), ("b", "zebre", "?")]
+    questions = spark.createDataFrame(rows, "id string, question string, reponse_attendue string")
+    assert runs.run_pending(questions.filter("id = 'a'"), corpus, path) == 1
+    assert runs.run_pending(questions, corpus, path) == 1
+    assert runs.run_pending(questions, corpus, path) == 0
+    got = {r.id: r for r in read_results(spark, path).collect()}
+    assert got["a"].reponse_llm == CHUNKS[2][2] and got["a"].logs == "sources=*; attempts=1; sufficient=true"
+    assert got["a"].duree_secondes > 0 and got["a"].chunks[0].source == "sorbonne.txt"
+    assert got["b"].logs == "sources=*; attempts=3; sufficient=false"
+
+
+def test_chat_replies(spark, corpus):
+    chat = spark.createDataFrame(
+        [(1, 0, "user", "bonjour"), (1, 1, "user", "stage de master")], "conv_id long, turn long, role string, text string"
+    )
+    r = runs.reply_to_chats(chat, corpus, "m", "id-1", 5).first()
+    body = json.loads(r.body)
+    assert r.conv_id == 1 and body["choices"][0]["message"]["content"] == CHUNKS[2][2] and body["created"] == 5
