@@ -94,13 +94,14 @@ def by_chunk(tokens: DataFrame, n_tokens: float, cfg: RetrievalConfig = DEFAULT)
     return spread.withColumn("dl", token_count(F.col("norm")))
 
 
-def postings_of(tokens: DataFrame) -> DataFrame:
-    """Term frequency per chunk; local where ``tokens`` is partitioned on ``chunk_id``."""
-    return (
-        tokens.select("chunk_id", "source", "dl", F.explode(split_tokens(F.col("norm"))).alias("term"))
-        .groupBy("chunk_id", "source", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+def postings_of(tokens: DataFrame, meta: tuple[str, ...] = ("source",), only: DataFrame | None = None) -> DataFrame:
+    """Term frequency per chunk; local where ``tokens`` is partitioned on ``chunk_id``. With ``only``,
+    a small table of terms, the others are dropped before counting."""
+    keys = ("chunk_id", *meta, "dl")
+    occurrences = tokens.select(*keys, F.explode(split_tokens(F.col("norm"))).alias("term"))
+    if only is not None:
+        occurrences = occurrences.join(F.broadcast(only), "term", "left_semi")
+    return occurrences.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def save_index(index: LexicalIndex, path: str) -> None:
@@ -161,31 +162,26 @@ def _salted(weights: DataFrame, postings: DataFrame, terms: DataFrame, cfg: Retr
 
 def bm25_scores(queries: DataFrame, index: LexicalIndex, cfg: RetrievalConfig = DEFAULT) -> DataFrame:
     """``(query_id, chunk_id, score)`` of every chunk sharing a term with the query."""
+    filtered = "sources" in queries.columns
+    # Without a filter the source stays out of the token exchange.
+    meta = ("source",) if filtered else ()
     wanted = query_terms(with_sources(queries))
     small = fits(wanted, cfg.broadcast_bytes)
     weights = index.terms.join(hinted(wanted, small), "term").select(
         "query_id", "sources", "term", (F.col("qtf") * F.col("idf")).alias("weight")
     )
-    if index.postings is not None:
-        postings = index.postings
-        if small:
-            asked = wanted.select("term").distinct()
-            few = [r["term"] for r in asked.limit(PUSHED_TERMS + 1).collect()]
-            if len(few) <= PUSHED_TERMS:
-                # Reaches the Parquet reader, which skips the row groups of other terms.
-                postings = postings.filter(F.col("term").isin(few))
-            else:
-                postings = postings.join(F.broadcast(asked), "term", "left_semi")
+    asked = wanted.select("term").distinct()
+    if index.postings is None:
+        postings = postings_of(index.tokens, meta, asked if small else None)
     elif small:
-        # Drop the terms nobody asks for before counting.
-        occurrences = index.tokens.select(
-            "chunk_id", "source", "dl", F.explode(split_tokens(F.col("norm"))).alias("term")
-        ).join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
-        postings = occurrences.groupBy("chunk_id", "source", "dl", "term").agg(
-            F.count(F.lit(1)).alias("tf")
+        few = [r["term"] for r in asked.limit(PUSHED_TERMS + 1).collect()]
+        # A short list reaches the Parquet reader, which skips the row groups of other terms.
+        postings = (
+            index.postings.filter(F.col("term").isin(few)) if len(few) <= PUSHED_TERMS
+            else index.postings.join(F.broadcast(asked), "term", "left_semi")
         )
     else:
-        postings = postings_of(index.tokens)
+        postings = index.postings
     keys = ["term"]
     if not small:
         weights, postings = _salted(weights, postings, index.terms, cfg)
@@ -193,11 +189,11 @@ def bm25_scores(queries: DataFrame, index: LexicalIndex, cfg: RetrievalConfig =
     k1, b = cfg.bm25_k1, cfg.bm25_b
     norm = k1 * (1 - b + b * F.col("dl") / F.lit(max(index.avgdl, 1e-9)))
     part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    allowed = F.col("sources").isNull() | F.array_contains("sources", F.col("source"))
+    pairs = postings.join(hinted(weights, small), keys)
+    if filtered:
+        pairs = pairs.filter(F.col("sources").isNull() | F.array_contains("sources", F.col("source")))
     return (
-        postings.join(hinted(weights, small), keys)
-        .filter(allowed)
-        .groupBy("chunk_id", "query_id")
+        pairs.groupBy("chunk_id", "query_id")
         .agg(F.round(F.sum(part), cfg.score_places).alias("score"))
     )
 

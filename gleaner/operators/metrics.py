@@ -209,9 +209,11 @@ def planted_passages(passages: DataFrame, tokens: DataFrame, terms: DataFrame) -
     wanted = passages.select(
         "query_id", "norm", F.explode(F.array_distinct(split_tokens(F.col("norm")))).alias("term")
     )
+    asked = wanted.select("term").distinct()
+    known = terms.select("term", "df").join(hinted(asked, fits(asked, DEFAULT.broadcast_bytes)), "term")
     # A passage with a term the corpus lacks has no match; the left join keeps that term as rarest.
     rarest = (
-        wanted.join(terms.select("term", "df"), "term", "left")
+        wanted.join(known, "term", "left")
         .groupBy("query_id")
         .agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
     )

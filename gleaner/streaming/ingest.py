@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gleaner.operators.batch import pending
 from gleaner.operators.chunking import split_pages
+from gleaner.sources.pages import spread
 
 
 def ingest_stream(spark: SparkSession, pages_path: str, schema: str, store_path: str, checkpoint: str,
@@ -25,15 +26,14 @@ def ingest_stream(spark: SparkSession, pages_path: str, schema: str, store_path:
     )
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch
+        fresh = chunk(prepare(spread(batch)))
         if batch_id > 0:
             stored = batch.sparkSession.read.parquet(store_path)
-            fresh = pending(batch, stored.filter(stored.batch_id < batch_id), key)
+            fresh = pending(fresh, stored.filter(stored.batch_id < batch_id), key)
         fresh.dropDuplicates([key]).write.mode("overwrite").parquet(f"{store_path}/batch_id={batch_id}")
 
     return (
-        chunk(prepare(pages))
-        .writeStream.foreachBatch(store)
+        pages.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
