@@ -24,6 +24,7 @@ def eval_samples(results: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Each record holds a handful of chunks in an array.
     """
+    # The line that names source and page above each context.
     told = F.transform(
         F.filter("chunks", lambda c: ~is_blank(F.coalesce(c["content"], F.lit("")))),
         lambda c: F.concat(

@@ -54,7 +54,7 @@ def stored(spark: SparkSession, corpus: Corpus, cfg: RetrievalConfig = DEFAULT)
     lexical.save_index(corpus.lexical, path)
     index = lexical.load_index(spark, path)
     size = index.tokens.agg(F.coalesce(F.sum(F.octet_length("norm")), F.lit(0)).alias("n")).first()["n"]
-    parts = max(1, -(-size // cfg.partition_bytes))
+    parts = min(max(1, -(-size // cfg.partition_bytes)), cfg.lookup_parts)
     columns = corpus.chunks.select("chunk_id", "source", "page", "text", id_part(parts).alias("id_part"))
     columns.hint("rebalance", F.col("id_part")).write.partitionBy("id_part").parquet(f"{path}/chunks")
     return replace(

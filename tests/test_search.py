@@ -99,6 +99,18 @@ def test_stored_index_gives_the_same(spark, queries, expected, tmp_path, limit):
     assert as_dict(lexical.bm25_scores(queries, lexical.load_index(spark, path), cfg)) == expected
 
 
+def test_a_third_of_copies(spark):
+    """Copies tie on the score, are cut by id and change nothing for the other chunks."""
+    rows = [(i, "hot", "le stage dure quatre mois") for i in range(100)]
+    rows += [(1000 + i, f"s{i}", f"le cours numero{i} dure un an") for i in range(200)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, source string, text string").repartition(7)
+    asked = spark.createDataFrame([("a", "stage"), ("b", "numero7")], "query_id string, question string")
+    for cfg in (RetrievalConfig(), RetrievalConfig(broadcast_bytes=0, hot_term_postings=10)):
+        got = lexical.bm25_top_k(asked, lexical.build_index(chunks, cfg), cfg=cfg).orderBy("query_id", "rank").collect()
+        assert [r.chunk_id for r in got] == [*range(20), 1007]
+        assert len({r.score for r in got if r.query_id == "a"}) == 1
+
+
 def test_few_terms_are_pushed_into_the_scan_of_stored_postings(spark, tmp_path):
     path = str(tmp_path / "index")
     lexical.save_index(lexical.build_index(corpus(spark)), path)
