@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe_codec, exact_dedup, packing, quality_classifier, quality_rules, simhash
-from gleaner.llm.common import documents, fold
+from gleaner.llm import (
+    bpe_codec, chat, exact_dedup, line_dedup, ngram_lm, packing, quality_classifier, quality_rules, simhash, warc,
+)
+from gleaner.llm.common import documents, fold, scratch_path, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -15,6 +17,16 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 GOOD = 0.3
 
 
+def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.decided(documents(spark, sf_dir))
+
+
+def op2_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(fold(F.col("doc_id"), 7) == 2, F.lit(False))
+    found = ngram_lm.scored(documents(spark, sf_dir), ~held_out)
+    return found.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = documents(spark, sf_dir), F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -23,6 +35,20 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"), "margin")
 
 
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "<|im_end|><|im_start|>assistant ok"
+    planted = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").union(planted)
+    return chat.digests(written(chat.windows(talks, VOCABULARY), "chat-windows"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    found = warc.read_archives(spark, path)
+    return warc.digests(warc.assembled(found, "record_type", "refers_to", "page_id", "payload_digest", "payload_bytes"))
+
+
 def op6_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(packing.pieces(documents(spark, sf_dir), VOCABULARY, RANKS))
 
@@ -48,12 +74,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~quality_rules.fails(quality_rules.STANDARD)).alias("kept"), "failures")
 
 
-REGISTERED = (op3_quality_classifier, op6_cutting_stock_packing, op7_exact_dedup, op8_simhash, op9_forced_boundary_bpe, op10_quality_rules)
+REGISTERED = (
+    op1_fuzzy_lines, op2_elias_fano_lm, op3_quality_classifier, op4_chat_windows, op5_warc, op6_cutting_stock_packing,
+    op7_exact_dedup, op8_simhash, op9_forced_boundary_bpe, op10_quality_rules,
+)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": EXACT_DEDUP, "op10_quality_rules": QUALITY_RULES}
+    return {"op5_warc": WARC, "op7_exact_dedup": EXACT_DEDUP, "op10_quality_rules": QUALITY_RULES}
+
 
+WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+g AS (SELECT html, max(page_id) AS top FROM p WHERE payload_bytes >= 1000 GROUP BY html)
+SELECT page_id, payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p LEFT JOIN g ON p.html = g.html
+"""
 
 EXACT_DEDUP = r"""
 WITH d AS (
