@@ -30,7 +30,7 @@ from gleaner.llm.common import per_batch, small, texts, written
 LENGTH = 2048
 END = 1
 #: Rests that one part of a class holds about when ranks are given.
-PART = 50_000
+PART = 4_096
 
 
 def class_lengths(length: int = LENGTH, exact: int = 64) -> np.ndarray:
