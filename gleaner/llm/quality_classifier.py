@@ -5,7 +5,7 @@ brought to unit length, and a linear hinge-loss model is fitted on them by dual
 margins calibrate a sigmoid, corrected for the share of classes among all labelled rows.
 
 The log-count ratios cover every labelled training row and are summed on Spark. The descent runs on the driver over
-at most ``Settings.per_class`` rows of each class, those of the smallest hash: a bounded sample, whatever the input.
+about ``Settings.per_class`` rows of each class, drawn by hash: a bounded sample, whatever the input.
 A model is two vectors of ``2 ** bits`` floats, so what is sent to the tasks doesn't grow with the data.
 
 Defined results: null and empty texts have no n-gram and get the score of the bias; without a training row of each
@@ -106,8 +106,9 @@ def class_counts(labelled: DataFrame, settings: Settings) -> tuple[np.ndarray, n
     return n0, n1
 
 
-def sample(labelled: DataFrame, settings: Settings) -> tuple[list[np.ndarray], np.ndarray]:
-    """At most ``per_class`` rows of each class, as features; the rows of the smallest hash."""
+def sample(labelled: DataFrame, rows: tuple[float, float], settings: Settings) -> tuple[list[np.ndarray], np.ndarray]:
+    """About ``per_class`` rows of each class, as features: those whose hash lies below their share of ``rows``, the
+    class sizes. No more than twice as many are ever collected, should one row be repeated that often."""
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         indicators = Indicators(settings)
         found = [indicators(text).tobytes() for text in batch.column("text").to_pylist()]
@@ -115,9 +116,10 @@ def sample(labelled: DataFrame, settings: Settings) -> tuple[list[np.ndarray], n
 
     features, labels = [], []
     for label in (0, 1):
-        rank = F.xxhash64("doc_id", "text")
-        few = labelled.filter(F.col("label") == label).withColumn("rank", rank).orderBy("rank", "doc_id").limit(settings.per_class)
-        for row in per_batch(few.select("label", "text"), step, "label int, features binary").collect():
+        share = min(1.0, settings.per_class / rows[label])
+        drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))
+        few = labelled.filter((F.col("label") == label) & drawn).select("label", "text")
+        for row in per_batch(few, step, "label int, features binary").limit(2 * settings.per_class).collect():
             features.append(np.frombuffer(bytes(row.features), np.int32))
             labels.append(row.label)
     return features, np.array(labels, np.int64)
@@ -181,7 +183,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     if not rows0 or not rows1:
         constant = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
         return Model(settings, np.zeros(size, np.float32), np.zeros(size, np.float32), 0.0, 0.0, float(constant))
-    features, found = sample(labelled, settings)
+    features, found = sample(labelled, (rows0, rows1), settings)
     rows = []
     for at in features:
         values = ratio[at]
