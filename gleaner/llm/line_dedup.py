@@ -3,7 +3,8 @@
 Lines are compared lower-cased with white space runs as one space. A line's set is its shingles of ``SHINGLE``
 characters (a shorter line is one shingle). Their hashes are dealt into ``BINS`` bins, and the least of each bin is one
 MinHash value. Hashes that are unlikely to be least are left out first: those below a bound that keeps about ``SAMPLE``
-of a line's hashes are enough, as the least of a bin is among them or the bin counts as empty, in similar lines alike.
+of a line's hashes are enough, as the least of a bin is among them or the bin counts as empty, in similar lines alike. A line that repeats so few
+shingles that its sample fills few bins takes all of them.
 ``ROWS`` neighbouring bins make a band, and lines that agree in a band are candidates: at the threshold of 0.8 two lines
 miss all bands with a chance of about 0.3 %, at 0.9 of one in 20,000. Every candidate pair that decides anything is
 verified by the Jaccard coefficient of the true shingle strings.
@@ -28,6 +29,7 @@ from gleaner.llm.components import components
 SHINGLE = 8
 SAMPLE = 96
 BINS = 24
+FILLED = 20
 ROWS = 3
 THRESHOLD = 0.8
 
@@ -40,24 +42,34 @@ def lines(docs: DataFrame) -> DataFrame:
         "line_id", F.when(F.col("norm").isNotNull(), F.xxhash64("norm")))
 
 
-def bands(found: DataFrame) -> DataFrame:
+def bands(found: DataFrame, sampled: bool) -> DataFrame:
     """line_id, key: one row for each band of a line that isn't empty; ``found`` may hold a line many times.
 
     Shingles are exploded, hashed, sampled and brought to minima within one stage of generated code; repeated lines
-    merge in the partial aggregation, and only the minima cross the shuffle."""
+    merge in the partial aggregation, and only the minima cross the shuffle. Of a sampled line that fills fewer than
+    ``FILLED`` bins, as it repeats few shingles, the one row has a null key: it takes all its hashes."""
     units = found.select("line_id", F.encode("norm", "UTF-16BE").alias("units"))
     counted = units.withColumn("n", F.expr(f"greatest(octet_length(units) div 2 - {SHINGLE - 1}, 1)"))
     each = counted.select("line_id", "units", "n", F.explode(F.expr("sequence(0, n - 1)")).alias("i"))
-    hashed = each.select("line_id", "n", F.expr(f"xxhash64(substring(units, 2 * i + 1, {2 * SHINGLE}))").alias("h"))
-    valued = hashed.select("line_id", "n", F.expr(f"pmod(h, {BINS}L)").alias("bin"), F.expr("shiftrightunsigned(h, 33)").alias("value"))
-    sampled = valued.filter(f"value * n < {SAMPLE << 31}L")
-    least = sampled.groupBy("line_id").agg(*[F.min(F.when(F.col("bin") == b, F.col("value"))).alias(f"m{b}") for b in range(BINS)])
+    hashed = each.select("line_id", "n", "i", F.expr(f"xxhash64(substring(units, 2 * i + 1, {2 * SHINGLE}))").alias("h"))
+    valued = hashed.select("line_id", "n", "i", F.expr(f"pmod(h, {BINS}L)").alias("bin"), F.expr("shiftrightunsigned(h, 33)").alias("value"))
+    if sampled:
+        # The first shingle stays as a row of its line, but outside the sample it is in no bin.
+        inside = F.expr(f"value * n < {SAMPLE << 31}L")
+        valued = valued.filter(inside | (F.col("i") == 0)).withColumn("bin", F.when(inside, F.col("bin")))
+    least = valued.groupBy("line_id").agg(
+        F.max("n").alias("n"), *[F.min(F.when(F.col("bin") == b, F.col("value"))).alias(f"m{b}") for b in range(BINS)])
     keys = []
     for band in range(BINS // ROWS):
         values = [F.col(f"m{b}") for b in range(band * ROWS, (band + 1) * ROWS)]
         key = F.xxhash64(F.lit(band), *[F.coalesce(v, F.lit(-1)) for v in values])
         keys.append(F.when(F.coalesce(*values).isNotNull(), key))
-    return least.select("line_id", F.explode(F.array(*keys)).alias("key")).filter("key is not null")
+    every = F.array_compact(F.array(*keys))
+    if sampled:
+        filled = sum((F.col(f"m{b}").isNotNull().cast("int") for b in range(1, BINS)), F.col("m0").isNotNull().cast("int"))
+        weak = (F.col("n") > SAMPLE) & (filled < FILLED)
+        every = F.when(weak, F.array(F.lit(None).cast("long"))).otherwise(every)
+    return least.select("line_id", F.explode(every).alias("key"))
 
 
 def shingle_set(norm: str) -> str:
@@ -81,7 +93,10 @@ def similar(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
 def groups(occurrences: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """node, root of the lines that are linked to others; ``occurrences`` has norm and line_id."""
     known = occurrences.filter("norm is not null").select("norm", "line_id")
-    banded = written(bands(known), "bands")
+    first = written(bands(known, True), "bands")
+    weak = written(first.filter("key is null").select("line_id"), "weak-lines")
+    again = known.join(small(weak), "line_id", "left_semi")
+    banded = written(first.filter("key is not null").union(bands(again, False)), "all-bands")
     sizes = banded.groupBy("key").agg(F.min("line_id").alias("first"), F.max("line_id").alias("last")).filter("first <> last")
     shared = written(sizes.select("key", "first"), "shared-bands")
     members = written(banded.join(small(shared), "key"), "band-members")
