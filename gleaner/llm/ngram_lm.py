@@ -99,7 +99,7 @@ def padded(start: int, n: int) -> np.uint64:
 
 def planes(values: np.ndarray) -> bytes:
     """Bytes of equal weight together, so that zero bytes compress away."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(values.size, -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(values.size, values.itemsize).T).tobytes()
 
 
 def unplaned(raw: bytes, kind) -> np.ndarray:
