@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import texts, total_bytes, written
 from gleaner.llm.elias_fano import ZERO, Level, pack_level, probability, quantised, unpack_level
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 WEIGHTS = (0.0, 0.05, 0.2, 0.5, 0.8, 0.95)
 DAMPING = 2.0
 END, START = b"\n", b"\r"  # no word holds white space
@@ -66,7 +66,8 @@ class Block:
             parts.append(np.append(part, np.uint64(end)))
             self.sizes[i] = part.size + 1
         token = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        self.document = np.repeat(np.arange(len(found)), self.sizes)
+        del parts
+        self.document = np.repeat(np.arange(len(found), dtype=np.int32), self.sizes)
         first = np.cumsum(self.sizes) - self.sizes
         place = np.arange(token.size) - first[self.document]
         self.keys, self.at, self.end, key = [], [], end, token
@@ -75,7 +76,7 @@ class Block:
         for n in range(1, order + 1):
             distinct, at = np.unique(key, return_inverse=True)
             self.keys.append(distinct)
-            self.at.append(at)
+            self.at.append(at.astype(np.int32))
             if n < order:
                 # the n tokens before this one, then this one
                 previous = np.r_[np.uint64(start), key[:-1]] if key.size else key
@@ -203,8 +204,7 @@ def text_scores(block: Block, trie: list[Level], totals: list[np.ndarray]) -> np
     starts = np.zeros(token.size, bool)
     starts[first] = True
     n = block.keys[0].size
-    p = np.tile(probability(trie[0].codes[token]), (len(WEIGHTS), 1))
-    weights = np.array(WEIGHTS)[:, None]
+    unigram, orders = probability(trie[0].codes[token]), []
     node = np.where(starts, n, np.r_[n, token[:-1]] if token.size else token)
     ends = float(totals[0][np.searchsorted(block.keys[0], np.uint64(block.end))]) if n else 0.0
     count = np.append(totals[0], ends).astype(float)
@@ -221,16 +221,20 @@ def text_scores(block: Block, trie: list[Level], totals: list[np.ndarray]) -> np
         own[known] = trie[level].find(pair[0], pair[1])[back.reshape(-1)]
         r = np.where(own >= 0, probability(trie[level].codes[np.maximum(own, 0)]) if trie[level].codes.size else 0.0, 0.0)
         c = np.where(node >= 0, count[np.maximum(node, 0)] if count.size else 0.0, 0.0)
-        share = weights * (c / (c + DAMPING))
-        p = share * r + (1 - share) * p
+        orders.append((r, c / (c + DAMPING)))
         # counts of this level's nodes, for the next one's contexts
         grams = np.zeros(trie[level].codes.size)
         there = own >= 0
         grams[own[there]] = totals[level][block.at[level][there]]
         shorter_node, shorter, count = node, own, grams
         node = np.where(starts, -1, np.r_[-1, own[:-1]] if own.size else own)
-    logs = np.log10(p)
-    sums = np.stack([np.bincount(block.document, weights=row, minlength=block.sizes.size) for row in logs])
+    sums = np.zeros((len(WEIGHTS), block.sizes.size))
+    for i, weight in enumerate(WEIGHTS):
+        p = unigram
+        for r, trust in orders:
+            share = weight * trust
+            p = share * r + (1 - share) * p
+        sums[i] = np.bincount(block.document, weights=np.log10(p), minlength=block.sizes.size)
     top = sums.max(axis=0)
     return top + np.log10(np.mean(10.0 ** (sums - top), axis=0))
 
