@@ -37,7 +37,12 @@ THRESHOLD = 0.8
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, norm (null for a blank line), line_id."""
     split = docs.select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "line"))
-    norm = F.trim(F.lower(F.regexp_replace("line", SPACE, " ")))
+    line = F.col("line")
+    # Only a line with white space other than single spaces needs the pattern.
+    odd = F.lit(False)
+    for space in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        odd = odd | F.contains(line, F.lit(space))
+    norm = F.trim(F.lower(F.when(odd, F.regexp_replace(line, SPACE, " ")).otherwise(line)))
     return split.select("doc_id", "line_no", F.nullif(norm, F.lit("")).alias("norm")).withColumn(
         "line_id", F.when(F.col("norm").isNotNull(), F.xxhash64("norm")))
 
@@ -79,15 +84,15 @@ def shingle_set(norm: str) -> str:
 
 
 def similar(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v) whose lines' shingle sets have at least this Jaccard coefficient."""
-    wanted = pairs.select(F.col("u").alias("line_id")).union(pairs.select("v")).distinct()
-    sets = found.join(small(written(wanted, "wanted-lines")), "line_id", "left_semi")
-    sets = written(sets.select("line_id", F.expr(shingle_set("norm")).alias("set")), "shingles")
-    left = sets.select(F.col("line_id").alias("u"), F.col("set").alias("a"))
-    right = sets.select(F.col("line_id").alias("v"), F.col("set").alias("b"))
-    both = pairs.join(left, "u").join(right, "v").withColumn("common", F.size(F.array_intersect("a", "b")))
-    union = F.size("a") + F.size("b") - F.col("common")
-    return both.filter(F.col("common") >= threshold * union).select("u", "v")
+    """The pairs (u, v) whose lines' shingle sets have at least this Jaccard coefficient; ``found`` has norm and size."""
+    left = found.select(F.col("line_id").alias("u"), F.col("norm").alias("a"), F.col("size").alias("n"))
+    right = found.select(F.col("line_id").alias("v"), F.col("norm").alias("b"), F.col("size").alias("m"))
+    # Sets of too different sizes can't be similar.
+    both = pairs.join(left, "u").join(right, "v").filter(F.least("n", "m") >= threshold * F.greatest("n", "m"))
+    common = F.size(F.array_intersect(F.expr(shingle_set("a")), F.expr(shingle_set("b"))))
+    # Written before it is filtered: a pushed condition would compute the sets for each mention.
+    counted = written(both.select("u", "v", "n", "m", common.alias("common")), "common-shingles")
+    return counted.filter(F.col("common") >= threshold * (F.col("n") + F.col("m") - F.col("common"))).select("u", "v")
 
 
 def groups(occurrences: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -96,15 +101,15 @@ def groups(occurrences: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = written(bands(known, True), "bands")
     weak = written(first.filter("key is null").select("line_id"), "weak-lines")
     again = known.join(small(weak), "line_id", "left_semi")
-    banded = written(first.filter("key is not null").union(bands(again, False)), "all-bands")
+    banded = first.filter("key is not null").union(written(bands(again, False), "weak-bands"))
     sizes = banded.groupBy("key").agg(F.min("line_id").alias("first"), F.max("line_id").alias("last")).filter("first <> last")
     shared = written(sizes.select("key", "first"), "shared-bands")
     members = written(banded.join(small(shared), "key"), "band-members")
     star = written(members.filter("line_id <> first").select(F.col("first").alias("u"), F.col("line_id").alias("v")).distinct(), "star-pairs")
     # The text of lines with a candidate; all later lookups read this part.
     text = known.join(small(written(members.select("line_id").distinct(), "candidates")), "line_id", "left_semi")
-    text = written(text.distinct(), "candidate-lines")
-    linked = written(similar(star, text, threshold), "star-links")
+    text = written(text.distinct().withColumn("size", F.size(F.expr(shingle_set("norm")))), "candidate-lines")
+    linked = similar(star, text, threshold)
     found = written(components(linked), "components")
     named = members.join(found, members["line_id"] == found["node"], "left").select(
         "key", "line_id", F.coalesce("root", "line_id").alias("root"))
@@ -115,7 +120,7 @@ def groups(occurrences: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root"))).select(
         F.least("a.line_id", "b.line_id").alias("u"), F.greatest("a.line_id", "b.line_id").alias("v")).distinct()
     pairs = written(pairs.join(star, ["u", "v"], "left_anti"), "mixed-pairs")
-    more = written(similar(pairs, text, threshold), "mixed-links")
+    more = similar(pairs, text, threshold)
     if more.isEmpty():
         return found
     return components(linked.union(more))
@@ -123,7 +128,7 @@ def groups(occurrences: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def decided(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, line_no, kept, keep_doc_id, keep_line_no, group_size: one row for each line of each row."""
-    split = lines(docs)
+    split = written(lines(docs), "lines")
     rows = written(split.groupBy("doc_id", "line_no", "line_id").agg(F.count(F.lit(1)).alias("n")), "line-rows")
     found = groups(split, threshold)
     rooted = rows.join(found, rows["line_id"] == found["node"], "left").select(
