@@ -85,7 +85,7 @@ def spread(df: DataFrame, *keys: str) -> Column:
 def one_stays(docs: DataFrame, digest: Column, stays: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose (doc_id, digest) is in ``stays`` (doc_id, digest, n); of n > 1 such rows one.
 
-    A null id equals a null id."""
+    A null id equals a null id. Both sides are shuffled unless Spark finds one small, so the cost follows the input."""
     keyed = docs.withColumns({"__digest": digest, "__id": F.col("doc_id")})
     on = ["__id", "__digest"]
     several = stays.filter("n > 1")
@@ -95,7 +95,7 @@ def one_stays(docs: DataFrame, digest: Column, stays: DataFrame) -> DataFrame:
     def match(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
         named = right.select(F.col("doc_id").alias("__rid"), F.col("digest").alias("__rdigest"))
         same = left["__id"].eqNullSafe(named["__rid"]) & (left["__digest"] == named["__rdigest"])
-        return left.join(small(named, width=64), same, how)
+        return left.join(named, same, how)
 
     out = match(keyed, single, "left_semi")
     if n_several:
