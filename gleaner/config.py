@@ -13,8 +13,8 @@ class RetrievalConfig:
     k_final: int = 5
     rrf_k: int = 60
     cap_per_source: int = 3
-    # Whether chunks without a common term may fill up a short lexical list, in id order.
-    fill_zero: bool = False
+    # Whether chunks without a common term fill up a short lexical list, in id order, so that it is complete.
+    fill_zero: bool = True
     # Okapi BM25 constants.
     bm25_k1: float = 1.5
     bm25_b: float = 0.75

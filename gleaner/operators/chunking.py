@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import is_blank, lines, or_unknown, strip
@@ -51,14 +51,18 @@ def with_content(chunks: DataFrame, text: str = "text") -> DataFrame:
 def _mask_fences(text: Column) -> Column:
     """Hides '#' at line starts between an opening and a closing code fence.
 
-    Cut at fence lines, every second piece is inside a fence.
+    A fence closes only with the mark that opened it, and a line that holds both ends opens nothing.
     """
-    pieces = F.split(text, _FENCE)
-    hidden = F.transform(
-        pieces,
-        lambda p, i: F.when(i % 2 == 1, F.regexp_replace(p, r"(?m)^([ \t]*)#", f"$1{_MASK}#")).otherwise(p),
-    )
-    return F.array_join(hidden, "")
+    start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        mark = F.regexp_extract(piece, r"^(```|~~~)", 1)
+        own_line = F.length(F.regexp_extract(piece, r"^(?:```[^\n]*```|~~~[^\n]*~~~)", 0)) > 0
+        opened = F.when((acc["open"] == "") & ~own_line, mark).when(acc["open"] == mark, F.lit("")).otherwise(acc["open"])
+        hidden = F.when(opened != "", F.regexp_replace(piece, r"(?m)^([ \t]*)#", f"$1{_MASK}#")).otherwise(piece)
+        return F.struct(opened.alias("open"), F.concat(acc["out"], F.array(hidden)).alias("out"))
+
+    return F.array_join(F.aggregate(F.split(text, _FENCE), start, step, lambda acc: acc["out"]), "")
 
 
 def sections(text: Column, compact: bool = False) -> Column:
@@ -241,6 +245,11 @@ def contextualize(chunks: DataFrame, step: Step = rule_context, template: str =
     prompt = fill(template, source=F.coalesce("source", F.lit("document inconnu")),
                   page=F.col("page_text"), chunk=F.col("body"))
     answered = step(chunks.withColumn("prompt", prompt))
+    if "reply_error" in answered.columns:
+        # A page is stored whole or stays pending: one failed line holds all its chunks back.
+        page = Window.partitionBy(F.xxhash64("source", "page", "page_text"), "source", "page")
+        failed = F.count("reply_error").over(page)
+        answered = answered.withColumn("_failed", failed).filter("_failed = 0").drop("_failed", "reply_error")
     return (
         answered.withColumn("context_line", context_line(F.col("reply")))
         .withColumn("text", prefixed(F.col("context_line"), F.col("body")))
@@ -263,4 +272,4 @@ def split_pages(pages: DataFrame, step: Step = rule_context, compact: bool = Fal
         F.posexplode(size_split(F.col("part.body"))).alias("piece_no", "body"),
     )
     chunks = contextualize(with_content(bodies, "body"), step)
-    return chunks.withColumn("chunk_id", chunk_id("source", "page", "part_no", "piece_no", "text"))
+    return chunks.withColumn("chunk_id", chunk_id("source", "page", "part_no", "piece_no", "body"))

@@ -62,10 +62,10 @@ def rule_judge(df: DataFrame) -> DataFrame:
 
 def judged(pairs: DataFrame, judge: Step = rule_judge, template: str = JUDGE_TEMPLATE) -> DataFrame:
     """Adds ``verdict`` to ``pairs(statement, evidence, …)``: 1 where the judge's number is at least
-    one half."""
+    one half, NULL where the judge failed, so that it stays out of every mean."""
     prompt = fill(template, statement=F.col("statement"), evidence=F.col("evidence"))
     told = judge(pairs.withColumn("prompt", prompt))
-    return told.withColumn("verdict", (judge_number(F.col("reply")) >= 0.5).cast("int"))
+    return told.withColumn("verdict", F.when(F.col("reply").isNotNull(), (judge_number(F.col("reply")) >= 0.5).cast("int")))
 
 
 def verdicts(told: DataFrame, evidence: DataFrame, column: str, judge: Step | None = None) -> DataFrame:

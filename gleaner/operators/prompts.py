@@ -66,9 +66,10 @@ def fill(template: str, **values: Column) -> Column:
 
 
 def assemble_context(ranked: DataFrame) -> DataFrame:
-    """``(query_id, context, passages, n_passages)`` from at most a handful of ranked rows per query.
+    """``(query_id, context, passages, best_passage, n_passages)`` from at most a handful of ranked rows per query.
 
-    ``context`` names the source of each passage; ``passages`` is the same without sources.
+    ``context`` names the source of each passage; ``passages`` is the same without sources; ``best_passage`` is the
+    first one whole, whatever separators its text holds.
     """
     rows = F.array_sort(F.collect_list(F.struct("rank", or_unknown(F.col("source")).alias("source"), "text")))
     with_source = F.transform(
@@ -81,6 +82,7 @@ def assemble_context(ranked: DataFrame) -> DataFrame:
             "query_id",
             F.array_join(with_source, PASSAGE_BREAK).alias("context"),
             F.array_join(F.transform("rows", lambda r: r["text"]), PASSAGE_BREAK).alias("passages"),
+            F.get("rows", F.lit(0))["text"].alias("best_passage"),
             F.size("rows").alias("n_passages"),
         )
     )

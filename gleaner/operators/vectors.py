@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gleaner.config import DEFAULT, RetrievalConfig
 from gleaner.functions.text import split_tokens
@@ -97,7 +98,7 @@ def _search_block(vectors: DataFrame, rows: list, id_type, k: int, cfg: Retrieva
     allowed = [None if r["sources"] is None else set(r["sources"]) for r in rows]
     restricted = [i for i, a in enumerate(allowed) if a is not None]
     unit, tile = 10**cfg.score_places, 256
-    arrow_id = pa.int64() if isinstance(id_type, T.LongType) else None
+    arrow_id = to_arrow_type(id_type)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.array([], dtype=np.int64)

@@ -93,7 +93,7 @@ def trim_pool(pool: DataFrame, n: int, score: Step = rule_pair_score) -> DataFra
 
 def run_rounds(questions: DataFrame, corpus: Corpus, steps: AgentSteps = AgentSteps(),
                cfg: RetrievalConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """``(state, pool)``: at most three rounds; finished questions leave the loop.
+    """``(state, pool)``: at most three rounds; finished questions leave the loop. A failed rewrite keeps the query.
 
     Every round ends in a written table, so a lost executor never replays earlier rounds.
     ``corpus`` is searched up to three times: pass a ``stored`` one.
@@ -129,7 +129,7 @@ def run_rounds(questions: DataFrame, corpus: Corpus, steps: AgentSteps = AgentSt
         prompt = fill(REWRITE_TEMPLATE, question=F.col("question"), query=F.col("current_query"),
                       verdict=F.col("verdict"))
         open_ = steps.rewrite(rest.withColumn("prompt", prompt)).select(
-            "query_id", "question", "sources", strip(F.col("reply")).alias("current_query"), "attempts"
+            "query_id", "question", "sources", F.coalesce(strip(F.col("reply")), F.col("current_query")).alias("current_query"), "attempts"
         )
         open_ = materialize(open_, "open")
         pool = pool.join(open_.select("query_id"), "query_id", "left_semi")

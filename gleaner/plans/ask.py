@@ -11,14 +11,15 @@ from gleaner.operators.prompts import ANSWER_TEMPLATE, REFUSAL, assemble_context
 
 def first_passage_answer(df: DataFrame) -> DataFrame:
     """Stand-in for a generator: the best passage itself."""
-    return df.withColumn("reply", F.split_part("passages", F.lit("\n\n---\n\n"), F.lit(1)))
+    return df.withColumn("reply", F.col("best_passage"))
 
 
 def answer(queries: DataFrame, retrieved: DataFrame, generate: Step = first_passage_answer,
            template: str = ANSWER_TEMPLATE) -> DataFrame:
     """``(query_id, question, prompt, answer, n_passages)`` for every query.
 
-    Queries without a passage get the fixed refusal and cost no model call.
+    Queries without a passage get the fixed refusal and cost no model call. Where the model failed to the last try,
+    the answer is NULL.
     """
     asked = queries.select("query_id", "question").join(assemble_context(retrieved), "query_id", "left")
     asked = asked.withColumn("n_passages", F.coalesce("n_passages", F.lit(0)))

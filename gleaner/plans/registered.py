@@ -429,21 +429,28 @@ def judged(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return wanted, context
 
 
+def claims(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The sentences of each answer, and the passages besides the one it was taken from."""
+    told = lexical_passages(spark, sf_dir)
+    answers = ask.first_passage_answer(prompts.assemble_context(told)).select(F.col("query_id").alias("id"), F.col("reply").alias("answer"))
+    others = prompts.assemble_context(told.filter("rank > 1")).select(F.col("query_id").alias("id"), F.col("passages").alias("context"))
+    return metrics.statements(answers, "answer"), others
+
+
 def faithfulness(spark, sf_dir):
-    """Claims are the sentences of the reference passage, evidence the retrieved passages."""
-    wanted, context = judged(spark, sf_dir)
-    told = metrics.statements(wanted, "reference")
-    return metrics.verdict_share(metrics.verdicts(told, context, "context"), "faithfulness")
+    """Share of an answer's sentences that the other passages support."""
+    told, others = claims(spark, sf_dir)
+    return metrics.verdict_share(metrics.verdicts(told, others, "context"), "faithfulness")
 
 
 def claim_verdicts(spark, sf_dir):
-    wanted, context = judged(spark, sf_dir)
-    return metrics.verdicts(metrics.statements(wanted, "reference"), context, "context")
+    told, others = claims(spark, sf_dir)
+    return metrics.verdicts(told, others, "context")
 
 
-def context_recall(spark, sf_dir):
+def token_recall(spark, sf_dir):
     wanted, context = judged(spark, sf_dir)
-    return metrics.token_recall(wanted.join(context, "id"), "reference", "context")
+    return metrics.token_recall(wanted.join(context, "id"), "reference", "context", "token_recall")
 
 
 def answer_relevancy(spark, sf_dir):
@@ -537,7 +544,7 @@ REGISTERED = (
     rrf_diverse_top10, rerank_top5, context_assembly, grounded_answers, chat_last_turn, chat_last_user,
     chat_envelope, source_replies, grade_replies, judge_numbers, pool_merge, agent_rounds, pending_items,
     progress_counts, ingest_resume, result_records, store_scan, source_listing, stream_windows,
-    planted_passages, recall_at_5, eval_samples, claim_verdicts, faithfulness, context_recall,
+    planted_passages, recall_at_5, eval_samples, claim_verdicts, faithfulness, token_recall,
     answer_relevancy, context_precision, answer_correctness, score_table, metric_report, score_metadata, gold_profile,
     refusal_rate,
 )

@@ -32,7 +32,8 @@ def run_pending(questions: DataFrame, corpus: Corpus, results_path: str, steps:
                 cfg: RetrievalConfig = DEFAULT) -> int:
     """Answers the open ``questions(id, question, reponse_attendue)`` and appends their records.
 
-    Returns how many were answered. An interrupted batch leaves no record and is asked again.
+    Returns how many were answered. An interrupted batch leaves no record and is asked again, and so does a question
+    whose model call failed to the last try.
     """
     todo = materialize(open_questions(questions, results_path), "todo")
     count = todo.count()
@@ -41,7 +42,10 @@ def run_pending(questions: DataFrame, corpus: Corpus, results_path: str, steps:
     start = time.monotonic()
     asked = todo.select(F.col("id").alias("query_id"), "question")
     answers, pool = ask_in_rounds(asked, corpus, steps, cfg)
-    answers = materialize(answers, "answers")
+    answers = materialize(answers.filter("answer is not null"), "answers")
+    count = answers.count()
+    if count == 0:
+        return 0
     append_results(result_rows(todo, answers, pool, time.monotonic() - start), results_path)
     return count
 

@@ -118,9 +118,10 @@ def html_to_markdown(html: Column) -> Column:
 
 
 def from_html(pages: DataFrame) -> DataFrame:
-    """``pages(page_id, url, html)`` as pages; the source is the host of the address."""
+    """``pages(page_id, url, html)`` as pages; the source is the host of the address. An id
+    beyond the range of page numbers gives no page number."""
     return pages.select(
         F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("source"),
-        F.col("page_id").cast("int").alias("page"),
+        F.expr("try_cast(page_id AS int)").alias("page"),
         F.explode(unless_blank(html_to_markdown(F.col("html")))).alias("text"),
     )

@@ -132,7 +132,8 @@ FROM lexical l JOIN chunks c USING (chunk_id) JOIN benchmark b ON b.item_id = l.
 JUDGED = ",\n".join([
     PASSAGES,
     f"""judged AS (SELECT query_id AS id, any_value(question) AS reference,
-  string_agg(text, {SEP} ORDER BY rank) AS context, arg_min(text, rank) AS answer FROM hits GROUP BY query_id)""",
+  string_agg(text, {SEP} ORDER BY rank) AS context, arg_min(text, rank) AS answer,
+  string_agg(text, {SEP} ORDER BY rank) FILTER (rank > 1) AS others FROM hits GROUP BY query_id)""",
 ])
 
 
@@ -155,8 +156,8 @@ merged{n} AS (SELECT m.*, o.question, row_number() OVER (PARTITION BY query_id O
 ordered{n} AS (SELECT query_id, CASE WHEN size > 5 THEN row_number() OVER (PARTITION BY query_id
   ORDER BY {coverage('question', 'text')} DESC, position) ELSE position END AS place, chunk_id, text FROM merged{n}),
 pool{n} AS MATERIALIZED (SELECT query_id, place AS rank, chunk_id, text FROM ordered{n} WHERE place <= 5),
-ctx{n} AS (SELECT query_id, string_agg(text, {SEP} ORDER BY rank) AS passages, count(*) AS n_passages FROM pool{n} GROUP BY query_id),
-graded{n} AS (SELECT o.*, passages, coalesce(n_passages, 0) AS n_passages,
+ctx{n} AS (SELECT query_id, string_agg(text, {SEP} ORDER BY rank) AS passages, arg_min(text, rank) AS best_passage, count(*) AS n_passages FROM pool{n} GROUP BY query_id),
+graded{n} AS (SELECT o.*, passages, best_passage, coalesce(n_passages, 0) AS n_passages,
   coalesce(n_passages, 0) > 0 AND {coverage('question', 'passages')} >= 0.8 AS sufficient,
   {stripped(f"'NON — ' || array_to_string({missing}, ' ')")} AS lacking FROM open{n} o LEFT JOIN ctx{n} USING (query_id)),
 state{n} AS MATERIALIZED (SELECT *, CASE WHEN n_passages = 0 THEN 'NON — aucun extrait récupéré'
@@ -173,7 +174,7 @@ open1 AS (SELECT b.item_id AS query_id, text AS question, found AS sources, text
   FROM benchmark b LEFT JOIN named n ON n.item_id = b.item_id)""",
     *[one_round(n) for n in (1, 2, 3)],
     "finished AS (" + " UNION ALL ".join(
-        f"SELECT query_id, current_query, sources, attempts, sufficient, verdict, passages, n_passages FROM state{n}"
+        f"SELECT query_id, current_query, sources, attempts, sufficient, verdict, passages, best_passage, n_passages FROM state{n}"
         + ("" if n == 3 else " WHERE sufficient") for n in (1, 2, 3)) + ")",
 ])
 
@@ -184,7 +185,7 @@ def statements(name: str, text: str) -> str:
         "lambda s: s <> '')"
     )
     return f"""{name} AS (SELECT * FROM (SELECT id, unnest(r) AS statement, generate_subscripts(r, 1) - 1 AS statement_no,
-  reference, context, answer FROM (SELECT *, {runs} AS r FROM judged)) WHERE len({tokens('statement')}) > 0)"""
+  reference, context, answer, others FROM (SELECT *, {runs} AS r FROM judged)) WHERE len({tokens('statement')}) > 0)"""
 
 
 def verdict(statement: str, evidence: str) -> str:
@@ -313,7 +314,7 @@ CORRECT = ",\n".join([
 SCORES = ",\n".join([
     PASSAGES,
     f"""judged AS (SELECT query_id AS id, any_value(question) AS reference, arg_min(text, rank) AS answer,
-  string_agg('[Source : ' || source || E' — p.?]\\n' || text, {SEP} ORDER BY rank) AS context FROM hits GROUP BY query_id)""",
+  NULL AS others, string_agg('[Source : ' || source || E' — p.?]\\n' || text, {SEP} ORDER BY rank) AS context FROM hits GROUP BY query_id)""",
     statements("sa", "answer"), statements("sr", "reference"),
     f"""va AS MATERIALIZED (SELECT id, {verdict('statement', 'context')} AS c, {verdict('statement', 'reference')} AS r FROM sa)""",
     f"""vr AS MATERIALIZED (SELECT id, {verdict('statement', 'context')} AS c, {verdict('statement', 'answer')} AS a FROM sr)""",
@@ -392,7 +393,7 @@ FROM r LEFT JOIN n ON contains(reply, lower(name)) GROUP BY doc_id""",
         "pool_merge": ctes(POOL) + " SELECT query_id, rank, chunk_id, source FROM kept JOIN (SELECT chunk_id, source FROM chunks) USING (chunk_id) WHERE rank <= 5",
         "agent_rounds": ctes(ROUNDS)
         + f""" SELECT query_id, current_query, array_to_string(sources, ',') AS sources, attempts, sufficient, verdict,
-  CASE WHEN n_passages = 0 THEN {quoted(REFUSAL)} ELSE split_part(passages, {SEP}, 1) END AS answer, n_passages FROM finished""",
+  CASE WHEN n_passages = 0 THEN {quoted(REFUSAL)} ELSE best_passage END AS answer, n_passages FROM finished""",
         "pending_items": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "progress_counts": "SELECT count(*) AS total, count(*) FILTER (d) AS done, count(*) FILTER (NOT d) AS to_do FROM (SELECT doc_id IN (SELECT doc_id FROM labels) AS d FROM documents)",
         "ingest_resume": """SELECT doc_id, source, length(text) AS n_chars FROM documents d WHERE NOT EXISTS
@@ -407,11 +408,11 @@ FROM r LEFT JOIN n ON contains(reply, lower(name)) GROUP BY doc_id""",
         "eval_samples": ctes(PASSAGES) + r""" SELECT query_id AS id, question AS user_input, arg_min(text, rank) AS response,
   string_agg('[Source : ' || coalesce(source, '?') || E' — p.?]\n' || text, E'\n|\n' ORDER BY rank) AS contexts, question AS reference
   FROM hits WHERE regexp_matches(text, '[^\s]') GROUP BY query_id, question""",
-        "claim_verdicts": ctes(JUDGED, statements("st", "reference"))
-        + f" SELECT id, statement_no, statement, {verdict('statement', 'context')} AS verdict FROM st",
-        "faithfulness": ctes(JUDGED, statements("st", "reference"))
-        + f" SELECT id, round(avg({verdict('statement', 'context')}), 6) AS faithfulness FROM st GROUP BY id",
-        "context_recall": ctes(JUDGED) + f" SELECT id, {coverage('reference', 'context')} AS context_recall FROM judged",
+        "claim_verdicts": ctes(JUDGED, statements("st", "answer"))
+        + f" SELECT id, statement_no, statement, {verdict('statement', 'others')} AS verdict FROM st WHERE others IS NOT NULL",
+        "faithfulness": ctes(JUDGED, statements("st", "answer"))
+        + f" SELECT id, round(avg({verdict('statement', 'others')}), 6) AS faithfulness FROM st WHERE others IS NOT NULL GROUP BY id",
+        "token_recall": ctes(JUDGED) + f" SELECT id, {coverage('reference', 'context')} AS token_recall FROM judged",
         "answer_relevancy": ctes(JUDGED, statements("st", "answer"), RELEVANCY)
         + " SELECT id, round(avg(sim), 6) AS answer_relevancy FROM sims GROUP BY id",
         "context_precision": ctes(BM25, ranked("r", "scored", 5), """v AS (SELECT query_id AS id, rank, coalesce(quality, 0) AS v FROM r LEFT JOIN labels ON doc_id = chunk_id),

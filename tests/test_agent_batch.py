@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.config import RetrievalConfig
-from gleaner.operators import batch
+from gleaner.operators import batch, models
 from gleaner.plans import agent, retrieve, runs
 from gleaner.sources.records import read_results
 
@@ -118,6 +118,24 @@ def test_batch_resumes(spark, corpus, tmp_path):
     assert got["b"].logs == "sources=*; attempts=3; sufficient=false"
 
 
+def test_a_failed_question_stays_pending(spark, corpus, tmp_path):
+    def client():
+        def call(prompt):
+            if "zebre" in prompt:
+                raise ValueError("down")
+            return "fine"
+
+        return call
+
+    path = str(tmp_path / "failed")
+    rows = [("a", "stage de master", "x"), ("b", "zebre", "y")]
+    questions = spark.createDataFrame(rows, "id string, question string, reponse_attendue string")
+    steps = agent.AgentSteps(generate=models.model_step(client, retries=0))
+    assert runs.run_pending(questions, corpus, path, steps) == 1
+    assert [r.id for r in read_results(spark, path).collect()] == ["a"]
+    assert runs.run_pending(questions, corpus, path) == 1
+
+
 def test_chat_replies(spark, corpus):
     chat = spark.createDataFrame(
         [(1, 0, "user", "bonjour"), (1, 1, "user", "stage de master")], "conv_id long, turn long, role string, text string"

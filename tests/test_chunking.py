@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import chunking as c
+from gleaner.operators import models
 
 
 def one(spark, text, fn):
@@ -169,3 +170,31 @@ def test_pages_to_chunks(spark):
     assert len({r.chunk_id for r in rows}) == len(rows) == 2
     again = {r.chunk_id for r in c.split_pages(pages.repartition(3)).collect()}
     assert again == {r.chunk_id for r in rows}
+
+
+def test_a_fence_closes_with_its_own_mark_only(spark):
+    text = "# A\n```\n~~~\n# not\n```\ntext\n## B\n```x```\n## C\n~~~\n## not\n~~~\n"
+    got = spark.createDataFrame([(text,)], "t string").select(F.explode(c.sections(F.col("t"))).alias("s")).select("s.*").collect()
+    assert [(r.h1, r.h2) for r in got] == [("A", None), ("A", "B"), ("A", "C")]
+    assert "# not" in got[0].body and "## not" in got[2].body
+
+
+def test_chunk_ids_do_not_depend_on_the_model(spark):
+    pages = spark.createDataFrame([("s", 1, "# Head\n" + "some words of a page " * 90)], "source string, page int, text string")
+    other = c.split_pages(pages, lambda df: df.withColumn("reply", F.lit("another line")))
+    ids = {r.chunk_id for r in c.split_pages(pages).collect()}
+    assert ids == {r.chunk_id for r in other.collect()} and len(ids) > 1
+
+
+def test_a_page_with_a_failed_context_line_stays_pending(spark):
+    def client():
+        def call(prompt):
+            if "poison" in prompt:
+                raise ValueError("down")
+            return "line"
+
+        return call
+
+    pages = [("s", 1, "a good page with enough words to be kept " * 40), ("s", 2, "poison " + "words of the second page here " * 60)]
+    chunks = c.split_pages(spark.createDataFrame(pages, "source string, page int, text string"), models.model_step(client, retries=0))
+    assert {r.page for r in chunks.collect()} == {1}

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from gleaner.operators import models, prompts
+from gleaner.operators import metrics, models, prompts
 from gleaner.plans import ask
 
 
@@ -81,3 +81,39 @@ def test_pair_scorer(spark):
 
     df = spark.createDataFrame([("ab", "xyz")], "question string, text string")
     assert models.pair_step(scorer)(df).first().pair_score == 6.0
+
+
+def test_an_answer_is_the_whole_first_passage(spark):
+    text = "part one\n\n---\n\npart two"
+    queries = spark.createDataFrame([("q", "x")], "query_id string, question string")
+    rows = [("q", 2, "b", "other"), ("q", 1, "a", text)]
+    found = spark.createDataFrame(rows, "query_id string, rank int, source string, text string")
+    assert ask.answer(queries, found).first().answer == text
+
+
+def test_a_failed_answer_is_null(spark):
+    def failing():
+        def call(prompt):
+            raise ValueError("down")
+
+        return call
+
+    queries = spark.createDataFrame([("q", "x")], "query_id string, question string")
+    found = spark.createDataFrame([("q", 1, "a", "t")], "query_id string, rank int, source string, text string")
+    assert ask.answer(queries, found, models.model_step(failing, retries=0)).first().answer is None
+
+
+def test_a_failed_judge_stays_out_of_the_mean(spark):
+    def judge():
+        def call(prompt):
+            if "bad" in prompt:
+                raise ValueError("down")
+            return "1"
+
+        return call
+
+    told = spark.createDataFrame([(1, 0, "good"), (1, 1, "bad")], "id int, statement_no int, statement string")
+    evidence = spark.createDataFrame([(1, "e")], "id int, context string")
+    got = metrics.verdicts(told, evidence, "context", models.model_step(judge, retries=0))
+    assert {r.statement: r.verdict for r in got.collect()} == {"good": 1, "bad": None}
+    assert metrics.verdict_share(got, "share").first().share == 1.0

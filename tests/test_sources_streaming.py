@@ -114,24 +114,17 @@ def test_stream_is_incremental_and_idempotent(spark, tmp_path):
 class FakeSession:
     """A session whose settings can be chosen; the real one fixes them at start."""
 
-    def __init__(self, named, master):
-        self.conf = {"spark.checkpoint.dir": named} if named else {}
-        self.master, self.folder = master, None
+    def __init__(self, named):
+        self.conf = {"spark.sql.warehouse.dir": "hdfs://x/warehouse/"} | ({"spark.checkpoint.dir": named} if named else {})
         self.sparkContext = self
 
     def getCheckpointDir(self):
-        return self.folder
-
-    def setCheckpointDir(self, folder):
-        self.folder = folder
+        return None
 
 
 def test_scratch_follows_the_session():
-    assert scratch.scratch_root(FakeSession("hdfs://x/shared/", "yarn")) == "hdfs://x/shared"
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch.scratch_root(FakeSession(None, "yarn"))
-    local = FakeSession(None, "local[2]")
-    assert scratch.scratch_root(local) == local.folder == scratch.scratch_root(local)
+    assert scratch.scratch_root(FakeSession("hdfs://x/shared/")) == "hdfs://x/shared"
+    assert scratch.scratch_root(FakeSession(None)) == "hdfs://x/warehouse/scratch"
 
 
 def test_materialize(spark):
