@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if its rows, measured, take no more than this.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 16 << 20
 #: Python's ``bytes.split()`` cuts at exactly these six characters.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -47,7 +47,7 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
-def small(df: DataFrame, rows: int | None = None, width: int = 32) -> DataFrame:
+def small(df: DataFrame, rows: int | None = None, width: int = 24) -> DataFrame:
     """Broadcast hint if the rows of a table of fixed ``width`` fit; otherwise Spark shuffles the join and
     splits skewed keys. ``df`` is counted, so it should be a written table."""
     n = df.count() if rows is None else rows

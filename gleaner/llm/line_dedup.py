@@ -100,14 +100,14 @@ def groups(occurrences: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     known = occurrences.filter("norm is not null").select("norm", "line_id")
     first = written(bands(known, True), "bands")
     weak = written(first.filter("key is null").select("line_id"), "weak-lines")
-    again = known.join(small(weak), "line_id", "left_semi")
+    again = known.join(small(weak, width=16), "line_id", "left_semi")
     banded = first.filter("key is not null").union(written(bands(again, False), "weak-bands"))
     sizes = banded.groupBy("key").agg(F.min("line_id").alias("first"), F.max("line_id").alias("last")).filter("first <> last")
     shared = written(sizes.select("key", "first"), "shared-bands")
     members = written(banded.join(small(shared), "key"), "band-members")
     star = written(members.filter("line_id <> first").select(F.col("first").alias("u"), F.col("line_id").alias("v")).distinct(), "star-pairs")
     # The text of lines with a candidate; all later lookups read this part.
-    text = known.join(small(written(members.select("line_id").distinct(), "candidates")), "line_id", "left_semi")
+    text = known.join(small(written(members.select("line_id").distinct(), "candidates"), width=16), "line_id", "left_semi")
     text = written(text.distinct().withColumn("size", F.size(F.expr(shingle_set("norm")))), "candidate-lines")
     linked = similar(star, text, threshold)
     found = written(components(linked), "components")
