@@ -18,6 +18,8 @@ from gleaner.sources.scratch import materialize
 BYTES_PER_TOKEN = 8
 # Up to this many query terms are pushed into the scan of stored postings.
 PUSHED_TERMS = 1000
+# Parts of the chunks that are ranked on their own before a query's final rank.
+TOP_PARTS = 32
 
 
 @dataclass(frozen=True)
@@ -199,9 +201,14 @@ def bm25_scores(queries: DataFrame, index: LexicalIndex, cfg: RetrievalConfig =
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` per query, ties by chunk id. Spark keeps k rows per task before the exchange."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("chunk_id"))
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    """Best ``k`` per query, ties by chunk id. Spark keeps k rows per task before an exchange; a first round within
+    ``TOP_PARTS`` hash parts of the chunks bounds what the task of one query sorts, however many tasks there are."""
+    best = (F.desc("score"), F.asc("chunk_id"))
+    part = F.pmod(F.xxhash64("chunk_id"), F.lit(TOP_PARTS))
+    first = Window.partitionBy("query_id", "_part").orderBy(*best)
+    dealt = scored.withColumn("_part", part).withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
+    order = Window.partitionBy("query_id").orderBy(*best)
+    return dealt.drop("_part").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def zero_fill(queries: DataFrame, scored: DataFrame, chunks: DataFrame, k: int) -> DataFrame:

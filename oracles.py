@@ -354,7 +354,10 @@ def oracle_sql() -> dict[str, str]:
             CHUNKS, STATS, ASKED, "own AS (SELECT doc_id AS query_id, source AS wanted FROM documents)",
             scored().replace("FROM qt JOIN", "FROM qt LEFT JOIN own USING (query_id) JOIN").replace(
                 ", total  GROUP", ", total WHERE wanted IS NULL OR wanted = source GROUP"),
-            ranked("r", "scored", 20),
+            """filled AS (SELECT b.item_id AS query_id, d.chunk_id, coalesce(s.score, 0) AS score FROM benchmark b
+  LEFT JOIN own ON own.query_id = b.item_id JOIN dl d ON own.wanted IS NULL OR d.source = own.wanted
+  LEFT JOIN scored s ON s.query_id = b.item_id AND s.chunk_id = d.chunk_id)""",
+            ranked("r", "filled", 20),
         ) + " SELECT query_id, chunk_id, rank, score FROM r",
         "bm25_filled": ctes(CHUNKS, STATS, f"""asked AS (SELECT DISTINCT source AS query_id, source AS question, [source] AS sources FROM documents
   UNION ALL SELECT CAST(item_id AS VARCHAR), text, NULL FROM benchmark),

@@ -107,7 +107,8 @@ def test_a_third_of_copies(spark):
     asked = spark.createDataFrame([("a", "stage"), ("b", "numero7")], "query_id string, question string")
     for cfg in (RetrievalConfig(), RetrievalConfig(broadcast_bytes=0, hot_term_postings=10)):
         got = lexical.bm25_top_k(asked, lexical.build_index(chunks, cfg), cfg=cfg).orderBy("query_id", "rank").collect()
-        assert [r.chunk_id for r in got] == [*range(20), 1007]
+        # the second question matches one chunk; the first chunks by id fill its list
+        assert [r.chunk_id for r in got] == [*range(20), 1007, *range(19)]
         assert len({r.score for r in got if r.query_id == "a"}) == 1
 
 
@@ -128,7 +129,7 @@ def test_top_k_breaks_ties_by_id(spark):
 
 def test_scoring_shuffles_the_corpus_once(spark, queries):
     index = lexical.build_index(corpus(spark))
-    plan = lexical.bm25_top_k(queries, index)._jdf.queryExecution().executedPlan().toString()
+    plan = lexical.bm25_top_k(queries, index, cfg=RetrievalConfig(fill_zero=False))._jdf.queryExecution().executedPlan().toString()
     on_chunk = [line for line in plan.splitlines() if "Exchange hashpartitioning(chunk_id" in line]
     assert len(on_chunk) == 1
 
@@ -178,3 +179,11 @@ def test_hashed_vectors_have_unit_length(spark):
     rows = vectors.hashed_vectors(index.tokens, ["chunk_id"], 16).collect()
     assert {r.chunk_id for r in rows} == {1, 2, 3, 4}
     assert all(len(r.vector) == 16 and abs(sum(x * x for x in r.vector) - 1) < 1e-12 for r in rows)
+
+
+@pytest.mark.parametrize("kind", ["int", "long", "string"])
+def test_query_ids_of_any_type(spark, kind):
+    queries = spark.range(3).select(F.col("id").cast(kind).alias("query_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("vector"))
+    found = spark.range(9).select("id", F.lit("s").alias("source"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("vector"))
+    got = vectors.nearest(queries, found.withColumnRenamed("id", "chunk_id"), 2)
+    assert got.count() == 6 and got.schema["query_id"].dataType == queries.schema["query_id"].dataType
