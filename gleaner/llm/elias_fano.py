@@ -43,19 +43,23 @@ def unpack_sequence(buffer, at: int = 0) -> tuple[np.ndarray, int]:
     return values, at + n_low
 
 
-#: Codes of a probability: this many for each halving, and the code of probability zero.
-CODES = 2048
+#: Codes of a probability: FINE for each halving down to 2^-KNEE, COARSE for each further one, down to 2^-64, and the
+#: code of probability zero. So a logarithm errs by 2^-12 halvings or by a share of 5e-5, whichever is more.
+FINE, COARSE, KNEE = 2048, 409, 24
 ZERO = 65535
 
 
 def quantised(probability: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
-        code = np.minimum(np.round(-np.log2(probability) * CODES), ZERO)
-    return code.astype("<u2")
+        halvings = -np.log2(probability)
+    code = np.round(np.minimum(halvings, KNEE) * FINE + np.maximum(halvings - KNEE, 0) * COARSE)
+    return np.where(probability > 0, np.minimum(code, ZERO - 1), ZERO).astype("<u2")
 
 
 def probability(code: np.ndarray) -> np.ndarray:
-    return np.where(code == ZERO, 0.0, np.exp2(-code.astype(np.float64) / CODES))
+    steps = code.astype(np.float64)
+    halvings = np.minimum(steps / FINE, KNEE) + np.maximum(steps - KNEE * FINE, 0) / COARSE
+    return np.where(code == ZERO, 0.0, np.exp2(-halvings))
 
 
 @dataclass(frozen=True)
