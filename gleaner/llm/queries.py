@@ -23,7 +23,7 @@ def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(fold(F.col("doc_id"), 7) == 2, F.lit(False))
-    found = ngram_lm.scored(documents(spark, sf_dir), ~held_out)
+    found = ngram_lm.scored(documents(spark, sf_dir), ~held_out, order=3)
     return found.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -1,7 +1,11 @@
+import math
+
 import numpy as np
 import pytest
+from test_text_models import model_by_hand
 
 from gleaner.llm import elias_fano, ngram_lm
+from gleaner.llm.queries import op2_elias_fano_lm
 
 
 @pytest.mark.parametrize("order", [1, 2, 3])
@@ -24,3 +28,12 @@ def test_small_probabilities_are_not_zero():
     assert np.allclose(back[:-1], p[:-1], rtol=9e-4) and (back > 0).all()
     assert elias_fano.probability(elias_fano.quantised(np.zeros(1)))[0] == 0
     assert (np.diff(elias_fano.probability(np.arange(elias_fano.ZERO + 1))) < 0).all()
+
+
+def test_the_query_scores_with_trigrams(spark, docs_001):
+    rows = [(r.doc_id, r.text) for r in docs_001.select("doc_id", "text").collect()]
+    assert all(doc_id is not None for doc_id, _ in rows)
+    wanted = {doc_id: x[4] for (doc_id, _), x in zip(rows, model_by_hand(rows, 3), strict=True)}
+    got = op2_elias_fano_lm(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(rows) == len(wanted)
+    assert all(math.isclose(r.score, wanted[r.doc_id], rel_tol=1e-3) for r in got)
