@@ -1,8 +1,8 @@
 """Exact deduplication against a history, through minimal perfect hashes over its distinct digests.
 
-The distinct digests of the history are dealt into buckets of bounded size. Each bucket becomes one index row: a
-minimal perfect hash (levels of bit arrays; a key's slot is the rank of its bit) whose slots hold the full digest and
-the locator of the row that stays. Arriving texts are first grouped by digest, map side too, so a group of copies of
+The distinct digests of the history are dealt into buckets, as many as the larger of history and arrivals needs. Each
+bucket becomes one index row: a minimal perfect hash (levels of bit arrays; a key's slot is the rank of its bit) whose
+slots hold the full digest and the locator of the row that stays. Arriving texts are first grouped by digest, map side too, so a group of copies of
 any size crosses the shuffle as one row for each task; each distinct digest is looked up in its bucket and counts as a
 member only if all 32 bytes at its slot agree. Nonmembers form groups of their own.
 
@@ -143,7 +143,8 @@ def groups(rows: DataFrame, historical: Column) -> DataFrame:
     Members take the winner of their slot, nonmembers group by digest; digests that only the history has follow."""
     history = written(distinct(rows.filter(historical)), "history")
     arriving = written(distinct(rows.filter(~historical)), "arriving")
-    buckets = n_buckets(history.count())
+    # both sides of a bucket go to one task
+    buckets = n_buckets(max(history.count(), arriving.count()))
     index = written(build_index(history, buckets), "perfect-hash")
     found = written(look_up(arriving, index, buckets), "found")
     members = found.filter("member").select("digest", F.col("found").alias("keep_id"), (F.col("known") + F.col("n")).alias("group_size"))
@@ -154,11 +155,10 @@ def groups(rows: DataFrame, historical: Column) -> DataFrame:
 
 
 def decided(docs: DataFrame, historical: Column | None = None) -> DataFrame:
-    """doc_id, digest, n, keep_id, group_size, stays. Without ``historical``, the older half of the id range is the history."""
+    """doc_id, digest, n, keep_id, group_size, stays. Without ``historical``, ids up to about the median are the history."""
     rows = written(digests(docs), "digests")
     if historical is None:
-        ends = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-        middle = None if ends["low"] is None else (ends["low"] + ends["high"]) // 2
+        middle = rows.agg(F.percentile_approx("doc_id", 0.5).alias("middle")).first()["middle"]
         historical = F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(False))
     found = groups(rows, historical)
     return rows.join(found, "digest").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("keep_id")))
