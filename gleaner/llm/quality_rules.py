@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import count
 
@@ -114,8 +115,13 @@ def ledger(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c) for c in found.T)], schema=schema)
 
     rows = per_batch(texts(docs), step, "doc_id long, " + ", ".join(f"{name} long" for name in MEASURES))
-    bits = [F.when(F.expr(rule.failed), F.lit(1 << rule.bit)).otherwise(F.lit(0)) for rule in RULES]
-    return rows.withColumn("failures", sum(bits[1:], bits[0]).cast("long"))
+    return rows.withColumn("failures", failure_bits())
+
+
+def failure_bits(condition: Callable[[str], str] = str) -> Column:
+    """Bit i is set if the rule of bit i failed; ``condition`` says how its condition reads."""
+    bits = [F.when(F.expr(condition(rule.failed)), F.lit(1 << rule.bit)).otherwise(F.lit(0)) for rule in RULES]
+    return sum(bits[1:], bits[0]).cast("long")
 
 
 def fails(policy: Policy, failures: Column | None = None) -> Column:
@@ -152,10 +158,8 @@ def kept_rows(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
         return pd.DataFrame([measured(text) for text in column], columns=MEASURES)
 
     found = F.pandas_udf(measure, ", ".join(f"{name} long" for name in MEASURES))(F.coalesce("text", F.lit("")))
-    judged_rows = docs.withColumn("__rules", found)
-    used = [rule.failed for rule in RULES if rule.name in policy.rules]
-    failed = " or ".join(f"({in_struct(condition)})" for condition in used) or "false"
-    return judged_rows.filter(f"not ({failed})").select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged_rows = docs.withColumn("__rules", found).withColumn("__failures", failure_bits(in_struct))
+    return judged_rows.filter(~fails(policy, F.col("__failures"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def in_struct(condition: str) -> str:
