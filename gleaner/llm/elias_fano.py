@@ -1,8 +1,8 @@
 """Elias-Fano sequences and an n-gram trie built on them.
 
 A monotone sequence of n values below u is stored as its low log2(u / n) bits each, and its high parts as unary gaps in
-one bit vector: about two bits a value more than the low bits. A trie is one byte string, whose parts are read in place
-from any buffer, also from a memory map.
+one bit vector: about two bits a value more than the low bits. A trie is one byte string, read from any buffer, also
+from a memory map: its sequences are decoded to arrays when it is opened, its codes are read in place.
 """
 
 from __future__ import annotations
