@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import (
-    bpe_codec, chat, exact_dedup, line_dedup, ngram_lm, packing, quality_classifier, quality_rules, simhash, warc,
+    bpe_codec, centroids, chat, exact_dedup, line_dedup, ngram_lm, packing, quality_classifier, quality_rules, simhash, warc,
 )
 from gleaner.llm.common import documents, fold, scratch_path, written
 
@@ -74,14 +74,59 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~quality_rules.fails(quality_rules.STANDARD)).alias("kept"), "failures")
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, final = centroids.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return centroids.with_inertia(found, final)
+
+
 REGISTERED = (
     op1_fuzzy_lines, op2_elias_fano_lm, op3_quality_classifier, op4_chat_windows, op5_warc, op6_cutting_stock_packing,
     op7_exact_dedup, op8_simhash, op9_forced_boundary_bpe, op10_quality_rules,
+    op13_centroid_clusters,
 )
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": WARC, "op7_exact_dedup": EXACT_DEDUP, "op10_quality_rules": QUALITY_RULES}
+    return {
+        "op5_warc": WARC, "op7_exact_dedup": EXACT_DEDUP, "op10_quality_rules": QUALITY_RULES,
+        "op13_centroid_clusters": centroid_sql(),
+    }
+
+
+def centroid_sql(clusters: int = centroids.CLUSTERS, rounds: int = centroids.ROUNDS, seed: int = centroids.SEED,
+                 dim: int = centroids.DIM) -> str:
+    """Plain rounds over all centroids, one pair of tables for each."""
+    steps = [f"""
+WITH k AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS p
+  FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim}
+), c0 AS (
+  SELECT c, m FROM (
+    SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, p) - 1 AS c, p AS m FROM k) WHERE c < {clusters}
+)"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS (
+  SELECT rid, vec_id, p, c, d FROM (
+    SELECT *, row_number() OVER (PARTITION BY rid ORDER BY d, c) AS place FROM (
+      SELECT rid, vec_id, p, c, list_sum(list_transform(range(1, {dim} + 1), lambda i: (p[i] - m[i]) * (p[i] - m[i])))::BIGINT AS d
+      FROM k CROSS JOIN c{r})) WHERE place = 1
+)""")
+        if r < rounds:
+            steps.append(f"""
+u{r} AS (
+  SELECT c, list(v ORDER BY i) AS m FROM (
+    SELECT c, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS v
+    FROM (SELECT c, unnest(range(1, {dim} + 1)) AS i, unnest(p) AS x FROM a{r}) GROUP BY c, i) GROUP BY c
+), c{r + 1} AS (
+  SELECT c, coalesce(u{r}.m, c{r}.m) AS m FROM c{r} LEFT JOIN u{r} USING (c)
+)""")
+    return ",".join(steps) + f"""
+SELECT vec_id, a{rounds}.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a{rounds}.c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON a{rounds}.c = c{rounds}.c
+"""
 
 
 WARC = r"""
