@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import (
-    bpe_codec, centroids, chat, exact_dedup, line_dedup, ngram_lm, packing, quality_classifier, quality_rules, simhash, warc,
+    bpe_codec, centroids, chat, exact_dedup, line_dedup, ngram_lm, packing, quality_classifier, quality_rules, sharding, simhash,
+    token_pairs, warc,
 )
 from gleaner.llm.common import documents, fold, scratch_path, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Least score of the classifier for a document to count as good.
 GOOD = 0.3
 
@@ -74,6 +76,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~quality_rules.fails(quality_rules.STANDARD)).alias("kept"), "failures")
 
 
+def op11_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digests(sharding.sharded(documents(spark, sf_dir)))
+
+
+def op12_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = token_pairs.alignment(documents(spark, sf_dir), VOCABULARY, RANKS, PIECES)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, final = centroids.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return centroids.with_inertia(found, final)
@@ -82,7 +93,7 @@ def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTERED = (
     op1_fuzzy_lines, op2_elias_fano_lm, op3_quality_classifier, op4_chat_windows, op5_warc, op6_cutting_stock_packing,
     op7_exact_dedup, op8_simhash, op9_forced_boundary_bpe, op10_quality_rules,
-    op13_centroid_clusters,
+    op11_external_shuffle, op12_pair_bitmaps, op13_centroid_clusters,
 )
 
 
