@@ -1,8 +1,8 @@
 """Alignment of two tokenizers over one corpus by inverted pair bitmaps.
 
 Both tokenizers cut the same bytes. Where a token of each ends at one byte, the two are linked, and the tokens between
-two such places form a group. A task takes a block of documents, encodes them, finds the ends that both share in one
-vectorised pass, and inverts the links: for each id pair it writes planes of bitmaps over the block's documents. Plane i
+two such places form a group. A task takes a block of documents, aligns their distinct words once, deals the alignments
+back to the documents by arrays, and inverts the links: for each id pair it writes planes of bitmaps over the block's documents. Plane i
 holds the documents whose number of links of the pair has bit i set, so the planes' union is the documents that hold the
 pair, and their counts, weighed by powers of two, are its links. A bitmap is a sorted array of 16-bit numbers, or packed
 bits where that is smaller.
@@ -24,18 +24,23 @@ ignored, whatever their names. Texts are encoded whole.
 
 from __future__ import annotations
 
+import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.bpe import encoder
+from gleaner.llm.bpe import PLAIN_PATTERN, WHITE, encoder
 from gleaner.llm.common import slices, small, texts, written
 
 BLOCK_DOCS = 1 << 16
@@ -45,34 +50,35 @@ PART = 4096
 #: A pair of ids is ``a << PAIR_BITS | b``.
 PAIR_BITS = 20
 
+#: White space at an end, runs of it that hold a space and more, and the sign that pieces use for a space.
+RUNS = rf"\A[{WHITE}]|[{WHITE}]\z|[{WHITE}] | [{WHITE}]|▁"
+
 DOCS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
 
 class Tokenizer:
-    """Ids of whole texts and the bytes that each id stands for."""
+    """Ids of whole texts as an array, and the bytes that each id stands for.
+
+    ``encode`` takes texts that follow one another with a space between them: a long text may be given in parts, where
+    neither tokenizer merges over such a space."""
 
-    def __init__(self, encode, table: list[bytes]) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], table: list[bytes]) -> None:
         self.encode, self.table = encode, table
         self.lengths = np.array([len(raw) for raw in table], np.int64)
-        # The decimal form of an id, behind which its group goes on, its side ends, or its group ends.
-        self.decimal = [[f"{i}{mark}" for i in range(len(table))] for mark in ",|;"]
 
-    def ids(self, text: str, raw: bytes) -> np.ndarray | None:
-        """Ids of a text whose tokens join to ``raw``; None if they don't."""
-        ids = self.encode(text)
-        return np.asarray(ids, np.int64) if b"".join(map(self.table.__getitem__, ids)) == raw else None
+    def ids(self, parts: list[str], raw: bytes) -> np.ndarray | None:
+        """Ids of a text in parts whose tokens join to ``raw``; None if they don't."""
+        ids = list(chain.from_iterable(self.encode(parts)))
+        return np.array(ids, np.int64) if b"".join(map(self.table.__getitem__, ids)) == raw else None
 
 
 @lru_cache(maxsize=2)
 def byte_tokenizer(path: str, ranks: str) -> Tokenizer:
     """The byte-level vocabulary, given space and text, with special strings as plain text."""
-    own = encoder(path, ranks)
-
-    def encode(text: str) -> list[int]:
-        raw = (" " + text).encode()
-        return np.frombuffer(b"".join(map(own.memo.__getitem__, own.fragments(raw))), "<i4").tolist()
-
-    return Tokenizer(encode, own.table)
+    with open(ranks, "rb") as file:
+        merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+    library = tiktoken.Encoding("pairs", pat_str=PLAIN_PATTERN, mergeable_ranks=merges, special_tokens={})
+    return Tokenizer(lambda parts: [library.encode_ordinary(" " + part) for part in parts], encoder(path, ranks).table)
 
 
 @lru_cache(maxsize=2)
@@ -83,43 +89,142 @@ def piece_tokenizer(path: str) -> Tokenizer:
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         table.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode())
-    return Tokenizer(lambda text: model.encode(text, num_threads=1), table)
+    return Tokenizer(lambda parts: model.encode(parts, num_threads=1), table)
+
+
+@lru_cache(maxsize=2)
+def decimals(first: int, second: int) -> pa.Array:
+    """The decimal ids of both sides, each followed by what comes behind it: a comma inside a side of a group, a bar
+    after the first side, a semicolon after the group. Four tables in a row."""
+    return pa.array([f"{i}{mark}" for n, marks in ((first, ",|"), (second, ",;")) for mark in marks for i in range(n)])
 
 
 def shared_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in two ascending lists of ends at which both have the same end."""
-    _, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    return at_a, at_b
+    """Places in two ascending lists of ends, with the same last end, at which both have the same end."""
+    at = np.searchsorted(b, a)
+    same = b[at] == a
+    return np.flatnonzero(same), at[same]
+
+
+def marked_ids(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, first: Tokenizer, second: Tokenizer) -> pa.Array:
+    """The parts of ``a1,a2|b1;a3|b2,b3;`` in order, from the ids of both sides and the last place of each group in them."""
+    n, m = len(first.table), len(second.table)
+    mark_a, mark_b = a.copy(), b + 2 * n
+    mark_a[last_a] += n
+    mark_b[last_b] += m
+    # Before a token lie the earlier ones of its side, and the other side of all groups that come first.
+    place_a, place_b = np.arange(a.size), np.arange(b.size)
+    order = np.empty(a.size + b.size, np.int64)
+    order[place_a + np.r_[0, last_b + 1][np.searchsorted(last_a, place_a)]] = mark_a
+    order[place_b + (last_a + 1)[np.searchsorted(last_b, place_b)]] = mark_b
+    return decimals(n, m).take(pa.array(order))
+
+
+def aligned(parts: list[str], first: Tokenizer, second: Tokenizer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Ids of both sides and the places of the last token of each group, for a text in parts between single spaces;
+    None for a text without tokens."""
+    if parts == [""]:
+        return None
+    raw = "".join(f" {part}" for part in parts).encode()
+    a = first.ids(parts, raw)
+    b = second.ids(parts, raw) if a is not None else None
+    if b is None:
+        return None
+    return a, b, *shared_ends(np.cumsum(first.lengths[a]), np.cumsum(second.lengths[b]))
 
 
-def group_text(a: list[str], b: list[str], last_a: np.ndarray, last_b: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3`` from the marked ids of both sides and the last place of each group."""
-    parts, i, j = [], 0, 0
-    for u, v in zip((last_a + 1).tolist(), (last_b + 1).tolist(), strict=True):
-        parts += a[i:u]
-        parts += b[j:v]
-        i, j = u, v
-    return "".join(parts)[:-1]
+def concatenated(parts: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of all strings in a row, and where each begins and the last ends."""
+    offsets = np.frombuffer(parts.buffers()[1], "<i4", len(parts) + 1, 4 * parts.offset)
+    return memoryview(parts.buffers()[2] or b""), offsets
 
 
-def marked(tokenizer: Tokenizer, ids: np.ndarray, last: np.ndarray, mark: int) -> list[str]:
-    plain, ends = tokenizer.decimal[0], tokenizer.decimal[mark]
-    out = list(map(plain.__getitem__, ids.tolist()))
-    for at, i in zip(last.tolist(), ids[last].tolist(), strict=True):
-        out[at] = ends[i]
-    return out
+@dataclass
+class Links:
+    """Per text the tokens on both sides, the links and the digest of the groups; and all links as (pair, text)."""
 
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_links: np.ndarray
+    digests: list[str]
+    pairs: np.ndarray
+    texts: np.ndarray
 
-def aligned(text: str, first: Tokenizer, second: Tokenizer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """Ids of both sides and the places of the last token of each group; None for a text without tokens."""
-    if not text:
-        return None
-    raw = (" " + text).encode()
-    a = first.ids(text, raw)
-    b = second.ids(text, raw) if a is not None else None
-    if b is None:
+
+def of_words(texts: pa.Array, first: Tokenizer, second: Tokenizer) -> Links | None:
+    """The links of texts whose words lie between single spaces.
+
+    Both tokenizers end a token before a space between two other characters, so the alignment of a text is that of its
+    words, one after another. The distinct words are aligned once, as the words of one text, and dealt back by arrays.
+    None if a word isn't given back."""
+    lists = pc.split_pattern(texts, pattern=" ")
+    coded = lists.flatten().dictionary_encode()
+    words, at = coded.dictionary, coded.indices.to_numpy()
+    spelled = words.to_pylist()
+    # Pieces are merged through a queue of the whole text, which is slow for a long one.
+    found = aligned([" ".join(spelled[i:i + 128]) for i in range(0, len(spelled), 128)], first, second)
+    if found is None:
         return None
-    return a, b, *shared_ends(np.cumsum(first.lengths[a]), np.cumsum(second.lengths[b]))
+    a, b, last_a, last_b = found
+    ends_a, ends_b = np.cumsum(first.lengths[a]), np.cumsum(second.lengths[b])
+    ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
+    at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+    if (ends_a[at_a] != ends).any() or (ends_b[at_b] != ends).any():
+        raise ValueError("a token of the vocabularies reaches over a space")
+    last = np.searchsorted(last_a, at_a)  # the last group of each word
+    counts = [np.diff(x, prepend=-1)[at] for x in (at_a, at_b, last)]
+    borders = lists.offsets.to_numpy().astype(np.int64)
+    n_a, n_b, n_links = (np.diff(np.r_[0, np.cumsum(c)][borders]) for c in counts)
+
+    # Links of each occurrence of a word: a range of the links of the distinct words.
+    repeats = counts[2]
+    starts = (last + 1 - np.diff(last, prepend=-1))[at]
+    inside = np.arange(repeats.sum()) - np.repeat(np.cumsum(repeats) - repeats, repeats)
+    pairs = (a[last_a] << PAIR_BITS | b[last_b])[np.repeat(starts, repeats) + inside]
+
+    data, offsets = concatenated(marked_ids(a, b, last_a, last_b, first, second))
+    cuts = offsets[np.r_[0, at_a + at_b + 2]].astype("<i4")
+    of_word = pa.StringArray.from_buffers(len(words), pa.py_buffer(cuts.tobytes()), pa.py_buffer(data))
+    groups, edges = concatenated(pc.binary_join(pa.ListArray.from_arrays(lists.offsets, of_word.take(coded.indices)), ""))
+    digests = [hashlib.sha256(groups[i:j - 1]).hexdigest() for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    return Links(n_a, n_b, n_links, digests, pairs, np.repeat(np.arange(len(texts)), n_links))
+
+
+def of_texts(texts: pa.Array, first: Tokenizer, second: Tokenizer) -> Links:
+    """The links of any texts, each aligned at once."""
+    rows, pairs = [], [np.zeros(0, np.int64)]
+    for text in texts.to_pylist():
+        found = aligned([text], first, second)
+        if found is None:
+            rows.append((0, 0, 0, ""))
+            continue
+        a, b, last_a, last_b = found
+        groups, edges = concatenated(marked_ids(a, b, last_a, last_b, first, second))
+        rows.append((a.size, b.size, last_a.size, hashlib.sha256(groups[edges[0]:edges[-1] - 1]).hexdigest()))
+        pairs.append(a[last_a] << PAIR_BITS | b[last_b])
+    n_a, n_b, n_links = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+    return Links(n_a, n_b, n_links, [r[3] for r in rows], np.concatenate(pairs), np.repeat(np.arange(len(rows)), n_links))
+
+
+def links_of(texts: pa.Array, first: Tokenizer, second: Tokenizer) -> Links:
+    """The links of a block of texts: by words where a text has single spaces only, which hardly ever leaves any."""
+    simple = ~pc.match_substring_regex(texts, RUNS).to_numpy(zero_copy_only=False)
+    simple &= (pc.binary_length(texts).to_numpy() > 0) & (pc.binary_length(texts).to_numpy() <= BLOCK_BYTES)
+    by_words = of_words(texts.filter(pa.array(simple)), first, second) if simple.any() else None
+    if by_words is None:
+        return of_texts(texts, first, second)
+    if simple.all():
+        return by_words
+    others = of_texts(texts.filter(pa.array(~simple)), first, second)
+    where = [np.flatnonzero(simple), np.flatnonzero(~simple)]
+    order = np.argsort(np.concatenate(where))
+
+    def both(name: str) -> np.ndarray:
+        return np.concatenate([getattr(by_words, name), getattr(others, name)])
+
+    digests = by_words.digests + others.digests
+    return Links(both("n_a")[order], both("n_b")[order], both("n_links")[order], [digests[i] for i in order.tolist()],
+                 both("pairs"), np.concatenate([where[0][by_words.texts], where[1][others.texts]]))
 
 
 # Bitmaps over the documents of a block: array containers begin with b"a", packed bits with b"b".
@@ -171,42 +276,24 @@ def planes_of(pairs: np.ndarray, ordinals: np.ndarray) -> Iterator[tuple[int, li
         yield int(pair[start]), planes
 
 
-class Block:
-    """Documents of one block: their rows, and their links by document."""
+def block_rows(number: int, doc_ids: pa.Array, texts: pa.Array, first: Tokenizer, second: Tokenizer) -> pa.RecordBatch:
+    """A block: rows of its documents (with ordinal), then rows of its pairs (with planes)."""
+    found = links_of(texts, first, second)
+    postings = list(planes_of(found.pairs, found.texts))
+    n, m = len(texts), len(postings)
 
-    def __init__(self, number: int) -> None:
-        self.number, self.rows, self.bytes = number, [], 0
-        self.pairs, self.ordinals = [], []
+    def documents(values, kind=None) -> pa.Array:
+        return pa.concat_arrays([pa.array(values, kind or pa.int64()), pa.nulls(m, kind or pa.int64())])
 
-    def add(self, doc_id, text: str, first: Tokenizer, second: Tokenizer) -> None:
-        found = aligned(text, first, second)
-        if found is None:
-            self.rows.append((doc_id, 0, 0, 0, 0, ""))
-        else:
-            a, b, last_a, last_b = found
-            groups = group_text(marked(first, a, last_a, 1), marked(second, b, last_b, 2), last_a, last_b)
-            self.pairs.append(a[last_a] << PAIR_BITS | b[last_b])
-            self.ordinals.append(np.full(last_a.size, len(self.rows), np.int64))
-            self.rows.append((doc_id, a.size, b.size, last_a.size, last_a.size, hashlib.sha256(groups.encode()).hexdigest()))
-        self.bytes += len(text)
-
-    def is_full(self) -> bool:
-        return len(self.rows) >= BLOCK_DOCS or self.bytes >= BLOCK_BYTES
-
-    def batch(self) -> pa.RecordBatch:
-        """Rows of documents (pair null, ordinal set), then rows of pairs (pair and planes set)."""
-        empty = np.zeros(0, np.int64)
-        inverted = list(planes_of(np.concatenate([empty, *self.pairs]), np.concatenate([empty, *self.ordinals])))
-        n, m = len(self.rows), len(inverted)
-        columns = list(zip(*self.rows, strict=True))
-        kinds = [pa.int64()] * 5 + [pa.string()]
-        documents = [pa.array([*c, *[None] * m], kind) for c, kind in zip(columns, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([
-            pa.array([False] * n + [True] * m), pa.array([self.number] * (n + m), pa.int64()),
-            pa.array([*range(n), *[None] * m], pa.int32()), *documents,
-            pa.array([*[None] * n, *(p for p, _ in inverted)], pa.int64()),
-            pa.array([*[None] * n, *(planes for _, planes in inverted)], pa.list_(pa.binary())),
-        ], names=["inverted", "block", "ordinal", *(f.split()[0] for f in DOCS.split(", ")), "pair", "planes"])
+    columns = {
+        "inverted": pa.array(np.arange(n + m) >= n), "block": pa.array(np.full(n + m, number)),
+        "ordinal": documents(np.arange(n, dtype=np.int32), pa.int32()), "doc_id": documents(doc_ids.cast(pa.int64())),
+        "n_a": documents(found.n_a), "n_b": documents(found.n_b), "n_groups": documents(found.n_links),
+        "n_links": documents(found.n_links), "groups_sha256": documents(found.digests, pa.string()),
+        "pair": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array([p for p, _ in postings], pa.int64())]),
+        "planes": pa.array([*[None] * n, *(planes for _, planes in postings)], pa.list_(pa.binary())),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def inverted(docs: DataFrame, path: str, ranks: str, pieces: str) -> DataFrame:
@@ -214,16 +301,12 @@ def inverted(docs: DataFrame, path: str, ranks: str, pieces: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = byte_tokenizer(path, ranks), piece_tokenizer(pieces)
-        task, block = TaskContext.get().partitionId() << 32, None
-        for part in (part for batch in batches for part in slices(batch)):
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                block = block or Block(task)
-                block.add(doc_id, text, first, second)
-                if block.is_full():
-                    yield block.batch()
-                    task, block = task + 1, None
-        if block:
-            yield block.batch()
+        number = TaskContext.get().partitionId() << 32
+        for part in (part for batch in batches for part in slices(batch, BLOCK_BYTES)):
+            for start in range(0, part.num_rows, BLOCK_DOCS):
+                own = part.slice(start, BLOCK_DOCS)
+                yield block_rows(number, own.column("doc_id"), own.column("text"), first, second)
+                number += 1
 
     return texts(docs).mapInArrow(run, f"inverted boolean, block long, ordinal int, {DOCS}, pair long, planes array<binary>")
 

@@ -114,18 +114,33 @@ def test_empty_table(spark, nothing):
     assert got == [] and pairs.count() == 0
 
 
-def test_blocks_are_cut_by_documents_and_bytes(monkeypatch):
+def test_words_equal_whole_texts(libraries):
+    """Texts of odd white space, signs and scripts: the same alignment word by word as all at once."""
+    rng = np.random.default_rng(2)
+    signs = list(" \n\t\r.,'aZéß中😀\u00a0\u200b\u3000ﬁ１Ⅳ0-<") + [" the", " of ", "in", " don't", "'s ", "  ", " x", " y", "z ", "▁"]
+    odds = np.r_[np.ones(len(signs) - 1), 0.05]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 30), p=odds / odds.sum())) for _ in range(4000)]
     first, second = token_pairs.byte_tokenizer(VOCABULARY, RANKS), token_pairs.piece_tokenizer(PIECES)
-    monkeypatch.setattr(token_pairs, "BLOCK_DOCS", 2)
-    block = token_pairs.Block(3)
-    block.add(1, "one", first, second)
-    assert not block.is_full()
-    block.add(2, "two", first, second)
-    assert block.is_full() and block.batch().num_rows > 2
-    monkeypatch.setattr(token_pairs, "BLOCK_BYTES", 2)
-    block = token_pairs.Block(4)
-    block.add(1, "long", first, second)
-    assert block.is_full()
+    runs = token_pairs.pc.match_substring_regex(token_pairs.pa.array(texts), token_pairs.RUNS).to_pylist()
+    assert 300 < runs.count(False) < 3900
+    one, other = token_pairs.links_of(token_pairs.pa.array(texts), first, second), token_pairs.of_texts(token_pairs.pa.array(texts), first, second)
+    assert one.digests == other.digests and "" in one.digests
+    for name in ("n_a", "n_b", "n_links"):
+        assert (getattr(one, name) == getattr(other, name)).all()
+    assert sorted(zip(one.texts.tolist(), one.pairs.tolist())) == sorted(zip(other.texts.tolist(), other.pairs.tolist()))
+    for text, n_a, n_b in zip(texts, one.n_a, one.n_b, strict=True):
+        if n_a:
+            assert n_a == len(libraries[0].encode(" " + text, add_special_tokens=False).ids) and n_b == len(libraries[1].encode(text))
+
+
+def test_blocks_of_bytes(spark, docs_001, libraries, monkeypatch):
+    rows = [(r.doc_id, r.text) for r in docs_001.filter(F.length("text") < 3000).limit(60).collect()]
+    ids, texts = (token_pairs.pa.array(c) for c in zip(*rows, strict=True))
+    args = token_pairs.byte_tokenizer(VOCABULARY, RANKS), token_pairs.piece_tokenizer(PIECES)
+    whole = token_pairs.block_rows(0, ids, texts, *args)
+    monkeypatch.setattr(token_pairs, "BLOCK_BYTES", 500)  # longer texts are aligned one by one
+    again = token_pairs.block_rows(0, ids, texts, *args)
+    assert whole.equals(again)
 
 
 def test_bitmaps_round_trip_and_merge():
