@@ -31,6 +31,9 @@ class RetrievalConfig:
     lookup_parts: int = 10_000
     # Terms with more postings than this are spread over several shuffle keys.
     hot_term_postings: int = 1_000_000
+    # Pairs of a question and a posting up to which every chunk that shares a term is scored; beyond, bounds of scores
+    # choose the chunks.
+    direct_pairs: int = 50_000_000
     # Queries multiplied against the vectors in one pass.
     query_block: int = 4096
     # Retrievals of the bounded loop: the answer is forced once attempts exceed this.

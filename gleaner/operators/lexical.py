@@ -20,6 +20,8 @@ BYTES_PER_TOKEN = 8
 PUSHED_TERMS = 1000
 # Parts of the chunks that are ranked on their own before a query's final rank.
 TOP_PARTS = 32
+# Parts that chunks are dealt into for bounds of scores.
+BLOCKS = 16
 
 
 @dataclass(frozen=True)
@@ -28,13 +30,14 @@ class LexicalIndex:
 
     ``norm`` is the blank-joined token text. Fresh ``tokens`` are hash-partitioned on ``chunk_id``,
     so every grouping on ``chunk_id`` is local. ``postings(chunk_id, source, dl, term, tf)`` is
-    present once the index was written.
+    present once the index was written, and ``bounds`` (see ``maxscore``) with it.
     """
 
     tokens: DataFrame
     terms: DataFrame
     avgdl: float
     postings: DataFrame | None = None
+    bounds: DataFrame | None = None
 
 
 def tokenized(chunks: DataFrame) -> DataFrame:
@@ -65,11 +68,36 @@ def term_statistics(chunks: DataFrame, n_chunks: int, cfg: RetrievalConfig = DEF
     once: the mean and every later lookup read it back instead of tokenising the corpus again.
     """
     counts = materialize(term_counts(chunks), "terms")
+    length = counts.agg(F.sum("dl_part").alias("length")).first()["length"]
+    return with_idf(counts.drop("dl_part"), n_chunks, cfg), (length or 0) / max(n_chunks, 1)
+
+
+def with_idf(counts: DataFrame, n_chunks: int, cfg: RetrievalConfig = DEFAULT) -> DataFrame:
+    """Adds ``idf`` to a written vocabulary ``counts(term, df, ...)``."""
     raw = F.log(F.lit(n_chunks) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    seen = counts.agg(F.avg(raw).alias("mean_idf"), F.sum("dl_part").alias("length")).first()
-    floor = cfg.bm25_epsilon * (seen["mean_idf"] or 0.0)
-    terms = counts.select("term", "df", F.when(raw < 0, F.lit(floor)).otherwise(raw).alias("idf"))
-    return terms, (seen["length"] or 0) / max(n_chunks, 1)
+    floor = cfg.bm25_epsilon * (counts.agg(F.avg(raw).alias("mean_idf")).first()["mean_idf"] or 0.0)
+    return counts.withColumn("idf", F.when(raw < 0, F.lit(floor)).otherwise(raw))
+
+
+def block_of(chunk_id: Column) -> Column:
+    return F.pmod(F.xxhash64(chunk_id), F.lit(BLOCKS)).cast("int")
+
+
+def block_bounds(postings: DataFrame) -> DataFrame:
+    """``(term, block, df, max_tf, min_dl)`` of ``postings(chunk_id, dl, term, tf)``: what bounds a term's part of any
+    score in a block. Over disjoint sets of chunks the columns add up, by sum, max and min."""
+    return postings.groupBy("term", block_of(F.col("chunk_id")).alias("block")).agg(
+        F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+
+
+def summed_bounds(bounds: DataFrame) -> DataFrame:
+    return bounds.groupBy("term", "block").agg(
+        F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
+
+
+def write_bounds(bounds: DataFrame, path: str) -> None:
+    """Sorted by term, so that a search of a few terms skips the other files and row groups."""
+    bounds.repartitionByRange("term").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(path)
 
 
 def build_index(chunks: DataFrame, cfg: RetrievalConfig = DEFAULT) -> LexicalIndex:
@@ -96,13 +124,14 @@ def by_chunk(tokens: DataFrame, n_tokens: float, cfg: RetrievalConfig = DEFAULT)
     return spread.withColumn("dl", token_count(F.col("norm")))
 
 
-def postings_of(tokens: DataFrame, meta: tuple[str, ...] = ("source",), only: DataFrame | None = None) -> DataFrame:
+def postings_of(tokens: DataFrame, meta: tuple[str, ...] = ("source",), only: DataFrame | None = None,
+                small: bool = True) -> DataFrame:
     """Term frequency per chunk; local where ``tokens`` is partitioned on ``chunk_id``. With ``only``,
-    a small table of terms, the others are dropped before counting."""
+    a table of terms, ``small`` or not, the others are dropped before counting."""
     keys = ("chunk_id", *meta, "dl")
     occurrences = tokens.select(*keys, F.explode(split_tokens(F.col("norm"))).alias("term"))
     if only is not None:
-        occurrences = occurrences.join(F.broadcast(only), "term", "left_semi")
+        occurrences = occurrences.join(hinted(only, small), "term", "left_semi")
     return occurrences.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -118,6 +147,7 @@ def save_index(index: LexicalIndex, path: str) -> None:
         .write.mode("overwrite")
         .parquet(f"{path}/postings")
     )
+    write_bounds(block_bounds(index.tokens.sparkSession.read.parquet(f"{path}/postings")), f"{path}/bounds")
 
 
 def load_index(spark: SparkSession, path: str) -> LexicalIndex:
@@ -128,6 +158,7 @@ def load_index(spark: SparkSession, path: str) -> LexicalIndex:
         terms.drop("avgdl"),
         first["avgdl"] if first else 0.0,
         spark.read.parquet(f"{path}/postings"),
+        spark.read.parquet(f"{path}/bounds"),
     )
 
 
@@ -211,8 +242,8 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return dealt.drop("_part").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def zero_fill(queries: DataFrame, scored: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Unmatched chunks with score 0 for the queries that match fewer than ``k`` chunks.
+def zero_fill(queries: DataFrame, scored: DataFrame, chunks: DataFrame, k: int) -> DataFrame | None:
+    """Unmatched chunks with score 0 for the queries that match fewer than ``k`` chunks; None where there is none.
 
     The first chunks by id are enough: with fewer than k matches, at least as many of the first k
     allowed chunks as are needed are unmatched. So a query meets k rows per allowed source at most.
@@ -220,31 +251,20 @@ def zero_fill(queries: DataFrame, scored: DataFrame, chunks: DataFrame, k: int)
     asked = with_sources(queries).select("query_id", "sources")
     counts = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("matches"))
     short = asked.join(counts, "query_id", "left").filter(F.coalesce("matches", F.lit(0)) < k)
-    anywhere = [r["chunk_id"] for r in chunks.select("chunk_id").orderBy("chunk_id").limit(k).collect()]
-    id_type = chunks.schema["chunk_id"].dataType
-    everywhere = short.filter("sources is null").select(
-        "query_id", F.explode(F.array(*[F.lit(c).cast(id_type) for c in anywhere]).cast(T.ArrayType(id_type))).alias("chunk_id")
-    )
-    of_source = Window.partitionBy("source").orderBy("chunk_id")
-    first = chunks.select("chunk_id", "source").withColumn("n", F.row_number().over(of_source)).filter(F.col("n") <= k)
-    named = short.select("query_id", F.explode("sources").alias("source")).distinct()
-    by_source = named.join(first, "source").select("query_id", "chunk_id")
-    fresh = everywhere.unionByName(by_source).join(
-        scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti"
-    )
-    return fresh.withColumn("score", F.lit(0.0))
-
-
-def bm25_top_k(queries: DataFrame, index: LexicalIndex, k: int | None = None,
-               cfg: RetrievalConfig = DEFAULT) -> DataFrame:
-    """``(query_id, chunk_id, rank, score)``. With ``cfg.fill_zero``, chunks without any common term
-    fill the list up in id order."""
-    k = k or cfg.k_retrieve
-    scored = bm25_scores(queries, index, cfg)
-    best = top_k(scored, k).select("query_id", "chunk_id", "rank", "score")
-    if not cfg.fill_zero:
-        return best
-    best = materialize(best, "ranked")
-    fill = zero_fill(queries, best, index.tokens, k)
-    both = best.select("query_id", "chunk_id", "score").unionByName(fill)
-    return top_k(both, k).select("query_id", "chunk_id", "rank", "score")
+    short = materialize(short.select("query_id", "sources"), "short")
+    kinds = {r["named"] for r in short.select(F.col("sources").isNotNull().alias("named")).distinct().collect()}
+    fresh = []
+    if False in kinds:
+        anywhere = [r["chunk_id"] for r in chunks.select("chunk_id").orderBy("chunk_id").limit(k).collect()]
+        id_type = chunks.schema["chunk_id"].dataType
+        ids = F.array(*[F.lit(c).cast(id_type) for c in anywhere]).cast(T.ArrayType(id_type))
+        fresh.append(short.filter("sources is null").select("query_id", F.explode(ids).alias("chunk_id")))
+    if True in kinds:
+        named = short.select("query_id", F.explode("sources").alias("source")).distinct()
+        of_source = Window.partitionBy("source").orderBy("chunk_id")
+        first = chunks.select("chunk_id", "source").withColumn("n", F.row_number().over(of_source)).filter(F.col("n") <= k)
+        fresh.append(named.join(first, "source").select("query_id", "chunk_id"))
+    if not fresh:
+        return None
+    found = fresh[0] if len(fresh) == 1 else fresh[0].unionByName(fresh[1])
+    return found.join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from gleaner.config import DEFAULT
 from gleaner.functions import replies, text
-from gleaner.operators import batch, chunking, fusion, lexical, metrics, prompts, vectors
-from gleaner.plans import agent, ask, evaluate, retrieve
+from gleaner.operators import batch, chunking, fusion, lexical, maxscore, metrics, prompts, vectors
+from gleaner.plans import agent, ask, evaluate, library, retrieve
 from gleaner.sources import pages as page_sources
 from gleaner.sources import records, store
 from gleaner.sources.scratch import scratch_path
@@ -149,19 +149,25 @@ def term_idf(spark, sf_dir):
 
 
 def bm25(spark, sf_dir, k=DEFAULT.k_retrieve):
-    return lexical.bm25_top_k(questions(spark, sf_dir), lexical.build_index(documents(spark, sf_dir)), k)
+    return maxscore.bm25_top_k(questions(spark, sf_dir), lexical.build_index(documents(spark, sf_dir)), k)
 
 
 def bm25_top20(spark, sf_dir):
     return bm25(spark, sf_dir)
 
 
+def bm25_bounded(spark, sf_dir):
+    """The same lists by bounds of scores, which other rows use for larger work only."""
+    cfg = replace(DEFAULT, direct_pairs=0)
+    return maxscore.bm25_top_k(questions(spark, sf_dir), lexical.build_index(documents(spark, sf_dir)), cfg=cfg)
+
+
 def bm25_by_source(spark, sf_dir):
     """Each question may only look into the source of the document that carries its number."""
     docs = documents(spark, sf_dir)
     own = docs.select(F.col("chunk_id").alias("query_id"), F.array("source").alias("sources"))
     asked = questions(spark, sf_dir).join(own, "query_id", "left")
-    return lexical.bm25_top_k(asked, lexical.build_index(docs))
+    return maxscore.bm25_top_k(asked, lexical.build_index(docs))
 
 
 def bm25_filled(spark, sf_dir):
@@ -176,7 +182,7 @@ def bm25_filled(spark, sf_dir):
                                         F.lit(None).cast("array<string>").alias("sources"))
     )
     cfg = replace(DEFAULT, fill_zero=True)
-    return lexical.bm25_top_k(asked, lexical.build_index(docs, cfg), cfg=cfg)
+    return maxscore.bm25_top_k(asked, lexical.build_index(docs, cfg), cfg=cfg)
 
 
 def embedded(spark, sf_dir) -> DataFrame:
@@ -213,6 +219,26 @@ def hashed_vectors(spark, sf_dir):
     return weights.filter("w > 0").select("chunk_id", "bucket", F.round("w", 6).alias("weight"))
 
 
+def corpus_reopened(spark, sf_dir):
+    """Vectors stored with the corpus, searched in another session."""
+    root = scratch_path(spark, "library")
+    library.add_chunks(documents(spark, sf_dir), root)
+    later = spark.newSession()
+    held = library.open_corpus(later, root)
+    return vectors.nearest(retrieve.query_vectors(questions(later, sf_dir)), held.embeddings)
+
+
+def corpus_grown(spark, sf_dir):
+    """Half the documents, then the other half, then all again, merged to one segment: as if added at once."""
+    docs, root = documents(spark, sf_dir), scratch_path(spark, "library")
+    half = F.pmod(F.xxhash64("chunk_id"), F.lit(2))
+    for part in (docs.filter(half == 0), docs.filter(half == 1), docs):
+        library.add_chunks(part, root)
+    library.compact(spark, root, fan=2)
+    cfg = replace(DEFAULT, direct_pairs=0)
+    return maxscore.bm25_top_k(questions(spark, sf_dir), library.open_corpus(spark, root).lexical, cfg=cfg)
+
+
 def corpus(spark, sf_dir) -> retrieve.Corpus:
     return retrieve.build_corpus(documents(spark, sf_dir))
 
@@ -408,7 +434,7 @@ def planted_passages(spark, sf_dir):
 
 def recall_at_5(spark, sf_dir):
     index = lexical.build_index(documents(spark, sf_dir))
-    ranked = lexical.bm25_top_k(questions(spark, sf_dir), index, TOP)
+    ranked = maxscore.bm25_top_k(questions(spark, sf_dir), index, TOP)
     return metrics.recall_at(ranked, gold(spark, sf_dir, index), TOP)
 
 
@@ -540,7 +566,7 @@ def refusal_rate(spark, sf_dir):
 REGISTERED = (
     tokenize_counts, encoding_repair, display_lines, page_markdown, contents_pages, header_sections, merge_small,
     chunk_windows, chunk_recursive, context_prefix, page_chunks, document_chunks, term_idf, bm25_top20,
-    bm25_by_source, bm25_filled, vector_top20, vector_filtered, hashed_vectors, hashed_top20, rrf_fusion,
+    bm25_bounded, bm25_by_source, bm25_filled, vector_top20, vector_filtered, hashed_vectors, hashed_top20, corpus_reopened, corpus_grown, rrf_fusion,
     rrf_diverse_top10, rerank_top5, context_assembly, grounded_answers, chat_last_turn, chat_last_user,
     chat_envelope, source_replies, grade_replies, judge_numbers, pool_merge, agent_rounds, pending_items,
     progress_counts, ingest_resume, result_records, store_scan, source_listing, stream_windows,

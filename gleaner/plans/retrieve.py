@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.config import DEFAULT, RetrievalConfig
 from gleaner.functions.sizes import hinted
 from gleaner.functions.text import token_text
-from gleaner.operators import fusion, lexical, vectors
+from gleaner.operators import fusion, lexical, maxscore, vectors
 from gleaner.operators.models import Step
 from gleaner.operators.prompts import HYDE_TEMPLATE, fill
 from gleaner.sources.scratch import materialize, scratch_path
@@ -98,7 +98,7 @@ def candidates(queries: DataFrame, corpus: Corpus, hyde: Step | None = None, emb
     """Both ranked lists with question and chunk columns; texts are fetched for the winners only."""
     queries = lexical.with_sources(queries)
     by_vector = vectors.nearest(query_vectors(queries, hyde, embed, cfg), corpus.embeddings, cfg=cfg)
-    by_term = lexical.bm25_top_k(queries, corpus.lexical, cfg=cfg)
+    by_term = maxscore.bm25_top_k(queries, corpus.lexical, cfg=cfg)
     ranked = fusion.both_lists(by_vector, by_term)
     # At most 2 k short rows per query: the bound follows from the number of queries.
     small = queries.count() * 2 * cfg.k_retrieve * 200 <= cfg.broadcast_bytes

@@ -368,6 +368,9 @@ qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tok
   LEFT JOIN scored s ON s.query_id = a.query_id AND s.chunk_id = d.chunk_id
   WHERE a.sources IS NULL OR list_contains(a.sources, d.source))""",
             ranked("r", "filled", 20)) + " SELECT query_id, chunk_id, rank, score FROM r",
+        "bm25_bounded": ctes(BM25, ranked("r", "scored", 20)) + " SELECT query_id, chunk_id, rank, score FROM r",
+        "corpus_grown": ctes(BM25, ranked("r", "scored", 20)) + " SELECT query_id, chunk_id, rank, score FROM r",
+        "corpus_reopened": ctes(BM25, HASHED, ranked("r", "alike", 20)) + " SELECT query_id, chunk_id, rank, score FROM r",
         "vector_top20": nearest(False),
         "vector_filtered": nearest(True),
         "hashed_vectors": ctes(CHUNKS, "occ AS (SELECT chunk_id, unnest(tok) AS term FROM chunks)")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.config import RetrievalConfig
-from gleaner.operators import lexical, vectors
+from gleaner.operators import lexical, maxscore, vectors
 
 TEXTS = [
     (1, "a.txt", "Le stage dure quatre mois"),
@@ -106,7 +106,7 @@ def test_a_third_of_copies(spark):
     chunks = spark.createDataFrame(rows, "chunk_id long, source string, text string").repartition(7)
     asked = spark.createDataFrame([("a", "stage"), ("b", "numero7")], "query_id string, question string")
     for cfg in (RetrievalConfig(), RetrievalConfig(broadcast_bytes=0, hot_term_postings=10)):
-        got = lexical.bm25_top_k(asked, lexical.build_index(chunks, cfg), cfg=cfg).orderBy("query_id", "rank").collect()
+        got = maxscore.bm25_top_k(asked, lexical.build_index(chunks, cfg), cfg=cfg).orderBy("query_id", "rank").collect()
         # the second question matches one chunk; the first chunks by id fill its list
         assert [r.chunk_id for r in got] == [*range(20), 1007, *range(19)]
         assert len({r.score for r in got if r.query_id == "a"}) == 1
@@ -129,7 +129,7 @@ def test_top_k_breaks_ties_by_id(spark):
 
 def test_scoring_shuffles_the_corpus_once(spark, queries):
     index = lexical.build_index(corpus(spark))
-    plan = lexical.bm25_top_k(queries, index, cfg=RetrievalConfig(fill_zero=False))._jdf.queryExecution().executedPlan().toString()
+    plan = lexical.top_k(lexical.bm25_scores(queries, index), 20)._jdf.queryExecution().executedPlan().toString()
     on_chunk = [line for line in plan.splitlines() if "Exchange hashpartitioning(chunk_id" in line]
     assert len(on_chunk) == 1
 
