@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from gleaner.sources.segments import Segment, Version
 
 #: Folders that chunks of a segment are kept in by a hash of their id, for lookups of a few winners.
 ID_PARTS = 16
+#: The pivots' table of a corpus, a row for each.
+PIVOTS = "n int, pivot array<double>"
 #: Segments of one size class that are merged, and the factor between classes.
 FAN = 4
 
@@ -34,7 +37,7 @@ def _schemas(id_type: str) -> dict[str, str]:
         "postings": f"chunk_id {id_type}, source string, dl int, term string, tf bigint",
         "terms": "term string, df bigint",
         "bounds": "term string, block int, df bigint, max_tf bigint, min_dl int",
-        "embeddings": f"chunk_id {id_type}, source string, vector array<double>",
+        "embeddings": f"chunk_id {id_type}, source string, vector array<double>, cell int, radius double",
     }
 
 
@@ -52,6 +55,13 @@ def _write_postings(rows: DataFrame, folder: str) -> None:
     rows.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{folder}/postings")
 
 
+def _pivots(spark: SparkSession, root: str, version: Version) -> np.ndarray | None:
+    if "pivots" not in version.settings:
+        return None
+    rows = spark.read.schema(PIVOTS).parquet(f"{root}/segments/{version.settings['pivots']}/pivots").collect()
+    return np.array([r["pivot"] for r in sorted(rows, key=lambda r: r["n"])], np.float64).reshape(len(rows), -1)
+
+
 def _checked(version: Version, wanted: dict) -> None:
     for name, value in wanted.items():
         if version.settings.get(name, value) != value:
@@ -93,8 +103,15 @@ def add_chunks(chunks: DataFrame, root: str, embed: Step | None = None, embedder
         found = vectors.hashed_vectors(tokens, ["chunk_id", "source"], cfg.vector_dim) if embed is None else embed(
             rows.select("chunk_id", "source", "text"))
         found = found.select("chunk_id", "source", F.col("vector").cast("array<double>").alias("vector"))
-        vectors.checked_dimension(found, cfg.vector_dim).write.parquet(f"{folder}/embeddings")
-        return Version(base.number + 1, (*base.segments, Segment(name, n_chunks, n_tokens)), {**settings, "id_parts": parts})
+        found = materialize(vectors.checked_dimension(found, cfg.vector_dim), "embedded")
+        pivots = _pivots(spark, root, base)
+        if pivots is None:
+            # All segments are placed by the pivots of the first, so that one search covers them.
+            pivots = vectors.choose_pivots(found)
+            spark.createDataFrame([(i, p) for i, p in enumerate(pivots.tolist())], PIVOTS).write.parquet(f"{folder}/pivots")
+        vectors.placed(found, pivots).write.parquet(f"{folder}/embeddings")
+        kept = {**settings, "id_parts": parts, "pivots": base.settings.get("pivots", name)}
+        return Version(base.number + 1, (*base.segments, Segment(name, n_chunks, n_tokens)), kept)
 
     return segments.change(spark, root, build)
 
@@ -113,7 +130,8 @@ def open_corpus(spark: SparkSession, root: str, number: int | None = None, cfg:
     # Bounds of several segments may name a term and block more than once.
     bounds = lexical.summed_bounds(tables["bounds"]) if len(version.segments) > 1 else tables["bounds"]
     index = lexical.LexicalIndex(tokens, terms, version.n_tokens / version.n_chunks, tables["postings"], bounds)
-    return Corpus(tables["chunks"], index, tables["embeddings"], version.settings["id_parts"])
+    return Corpus(tables["chunks"], index, tables["embeddings"], version.settings["id_parts"],
+                  _pivots(spark, root, version))
 
 
 def size_class(segment: Segment) -> int:
@@ -138,7 +156,8 @@ def merge_segments(spark: SparkSession, root: str, version: Version, chosen: tup
     _write_postings(tables["postings"], folder)
     tables["terms"].groupBy("term").agg(F.sum("df").alias("df")).write.parquet(f"{folder}/terms")
     lexical.write_bounds(lexical.summed_bounds(tables["bounds"]), f"{folder}/bounds")
-    tables["embeddings"].write.parquet(f"{folder}/embeddings")
+    sorted_again = tables["embeddings"].repartitionByRange("cell", "radius", "chunk_id").sortWithinPartitions("cell", "radius", "chunk_id")
+    sorted_again.write.parquet(f"{folder}/embeddings")
     merged = Segment(name, sum(s.n_chunks for s in chosen), sum(s.n_tokens for s in chosen))
 
     def build(base: Version) -> Version | None:

@@ -204,6 +204,11 @@ def vector_top20(spark, sf_dir):
     return vectors.nearest(embedded_questions(spark, sf_dir).drop("source"), found)
 
 
+def vector_pivoted(spark, sf_dir):
+    """The same lists from a pivot table, which skips vectors by the triangle inequality."""
+    return vectors.nearest(embedded_questions(spark, sf_dir).drop("source"), vectors.pivoted(embedded(spark, sf_dir)))
+
+
 def vector_filtered(spark, sf_dir):
     asked = embedded_questions(spark, sf_dir).select("query_id", F.array("source").alias("sources"), "vector")
     return vectors.nearest(asked, embedded(spark, sf_dir))
@@ -225,7 +230,7 @@ def corpus_reopened(spark, sf_dir):
     library.add_chunks(documents(spark, sf_dir), root)
     later = spark.newSession()
     held = library.open_corpus(later, root)
-    return vectors.nearest(retrieve.query_vectors(questions(later, sf_dir)), held.embeddings)
+    return vectors.nearest(retrieve.query_vectors(questions(later, sf_dir)), held.vectors)
 
 
 def corpus_grown(spark, sf_dir):
@@ -566,7 +571,7 @@ def refusal_rate(spark, sf_dir):
 REGISTERED = (
     tokenize_counts, encoding_repair, display_lines, page_markdown, contents_pages, header_sections, merge_small,
     chunk_windows, chunk_recursive, context_prefix, page_chunks, document_chunks, term_idf, bm25_top20,
-    bm25_bounded, bm25_by_source, bm25_filled, vector_top20, vector_filtered, hashed_vectors, hashed_top20, corpus_reopened, corpus_grown, rrf_fusion,
+    bm25_bounded, bm25_by_source, bm25_filled, vector_top20, vector_pivoted, vector_filtered, hashed_vectors, hashed_top20, corpus_reopened, corpus_grown, rrf_fusion,
     rrf_diverse_top10, rerank_top5, context_assembly, grounded_answers, chat_last_turn, chat_last_user,
     chat_envelope, source_replies, grade_replies, judge_numbers, pool_merge, agent_rounds, pending_items,
     progress_counts, ingest_resume, result_records, store_scan, source_listing, stream_windows,

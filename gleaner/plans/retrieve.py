@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,12 @@ class Corpus:
     lexical: lexical.LexicalIndex
     embeddings: DataFrame
     id_parts: int | None = None
+    pivots: np.ndarray | None = None
+
+    @property
+    def vectors(self) -> DataFrame | vectors.PivotTable:
+        """What a vector search reads: with pivots where the corpus was stored with them."""
+        return self.embeddings if self.pivots is None else vectors.PivotTable(self.embeddings, self.pivots)
 
 
 def build_corpus(chunks: DataFrame, embed: Step | None = None, cfg: RetrievalConfig = DEFAULT) -> Corpus:
@@ -97,7 +104,7 @@ def candidates(queries: DataFrame, corpus: Corpus, hyde: Step | None = None, emb
                cfg: RetrievalConfig = DEFAULT) -> DataFrame:
     """Both ranked lists with question and chunk columns; texts are fetched for the winners only."""
     queries = lexical.with_sources(queries)
-    by_vector = vectors.nearest(query_vectors(queries, hyde, embed, cfg), corpus.embeddings, cfg=cfg)
+    by_vector = vectors.nearest(query_vectors(queries, hyde, embed, cfg), corpus.vectors, cfg=cfg)
     by_term = maxscore.bm25_top_k(queries, corpus.lexical, cfg=cfg)
     ranked = fusion.both_lists(by_vector, by_term)
     # At most 2 k short rows per query: the bound follows from the number of queries.

@@ -372,6 +372,7 @@ qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tok
         "corpus_grown": ctes(BM25, ranked("r", "scored", 20)) + " SELECT query_id, chunk_id, rank, score FROM r",
         "corpus_reopened": ctes(BM25, HASHED, ranked("r", "alike", 20)) + " SELECT query_id, chunk_id, rank, score FROM r",
         "vector_top20": nearest(False),
+        "vector_pivoted": nearest(False),
         "vector_filtered": nearest(True),
         "hashed_vectors": ctes(CHUNKS, "occ AS (SELECT chunk_id, unnest(tok) AS term FROM chunks)")
         + f" SELECT chunk_id, bucket, round(w, 6) AS weight FROM ({unique('occ', 'chunk_id')})",

@@ -40,7 +40,7 @@ def test_growth_equals_one_build(spark, chunks, asked, grown):
     terms = lambda c: rows_of(c.lexical.terms.select("term", "df", F.round("idf", 9).alias("idf")))
     assert terms(held) == terms(fresh)
     assert rows_of(maxscore.bm25_top_k(asked, held.lexical)) == rows_of(maxscore.bm25_top_k(asked, fresh.lexical))
-    near = lambda c: rows_of(vectors.nearest(retrieve.query_vectors(asked), c.embeddings))
+    near = lambda c: rows_of(vectors.nearest(retrieve.query_vectors(asked), c.vectors))
     assert near(held) == near(fresh)
     best = lambda c: rows_of(retrieve.retrieve(asked, c))
     assert best(held) == best(fresh)
