@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.operators.batch import pending
+
 Step = Callable[[DataFrame], DataFrame]
 
 
@@ -51,6 +53,40 @@ def model_step(open_client: Callable[[], Callable[[str], str]], retries: int = 3
     return step
 
 
+def problem(df: DataFrame, stage: str, out: str = "reply") -> Column:
+    """Why ``stage`` gave no reply, NULL where it gave one."""
+    told = F.col(f"{out}_error") if f"{out}_error" in df.columns else F.lit(None).cast("string")
+    return F.when(F.col(out).isNull(), F.concat(F.lit(f"{stage}: "), F.coalesce(told, F.lit("no reply"))))
+
+
+def recorded_step(step: Step, path: str, prompt: str = "prompt", out: str = "reply") -> Step:
+    """``step`` behind a ledger of calls under ``path``: ``(digest, reply, error, at)``, one row for each call.
+
+    Equal prompts are paid once, in a run and in later ones; a prompt whose call failed is asked again by the next run,
+    and its error stays in the ledger. The ledger is written before the replies are used, so a run that ends early
+    resumes behind its last finished step. A NULL prompt gets no call and no reply.
+    """
+    schema = "digest string, reply string, error string, at timestamp"
+
+    def run(df: DataFrame) -> DataFrame:
+        spark = df.sparkSession
+        keyed = df.withColumn("_digest", F.sha2(F.col(prompt), 256))
+        asked = keyed.select(F.col("_digest").alias("digest"), prompt).filter("digest is not null").dropDuplicates(["digest"])
+        spark.createDataFrame([], schema).write.mode("append").parquet(path)
+        answered = spark.read.schema(schema).parquet(path).filter("reply is not null")
+        told = step(pending(asked, answered, "digest"))
+        error = F.col(f"{out}_error") if f"{out}_error" in told.columns else F.lit(None).cast("string")
+        told.select("digest", F.col(out).alias("reply"), error.alias("error"), F.current_timestamp().alias("at")).write.mode("append").parquet(path)
+        ledger = spark.read.schema(schema).parquet(path)
+        # Calls of one prompt combine before their exchange; a reply beats any error, else the last error is told.
+        last = ledger.groupBy(F.col("digest").alias("_digest")).agg(
+            F.max("reply").alias(out), F.max_by("error", "at").alias(f"{out}_error"))
+        found = keyed.join(last, "_digest", "left").drop("_digest")
+        return found.withColumn(f"{out}_error", F.when(F.col(out).isNull(), F.col(f"{out}_error")))
+
+    return run
+
+
 def embed_step(open_embedder: Callable[[], Callable[[list[str]], list[list[float]]]],
                lot: int = 50, text: str = "text", out: str = "vector") -> Step:
     """Embeds ``text`` in lots of ``lot`` with an embedder opened once per task."""

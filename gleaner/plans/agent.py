@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from gleaner.config import DEFAULT, RetrievalConfig
 from gleaner.functions.replies import chosen_sources, grade_verdict, is_sufficient, names_in_text
 from gleaner.functions.text import strip, tokenize
 from gleaner.operators.fusion import coverage, rerank, rule_pair_score
-from gleaner.operators.models import Step
+from gleaner.operators.models import Step, problem
 from gleaner.operators.prompts import (
     GRADE_TEMPLATE,
     REWRITE_TEMPLATE,
@@ -61,13 +62,15 @@ def source_names(chunks: DataFrame) -> DataFrame:
 
 
 def identify_sources(questions: DataFrame, names: DataFrame, choose: Step | None = None) -> DataFrame:
-    """Adds ``sources``. Stand-in: the names whose stem occurs in the question."""
+    """Adds ``sources``, and ``failed`` where the choice got no reply. Stand-in: the names whose stem occurs in the question."""
     if choose is None:
         stems = names.select("name", F.regexp_replace("name", r"(?<=.)\.[^.]*$", "").alias("needle"))
-        return names_in_text(questions, "query_id", "question", stems, "sources")
+        return names_in_text(questions, "query_id", "question", stems, "sources").withColumn("failed", F.lit(None).cast("string"))
     listing = names.agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("all")).scalar()
     asked = questions.withColumn("prompt", fill(SOURCE_TEMPLATE, sources=listing, question=F.col("question")))
-    return chosen_sources(choose(asked), "query_id", "reply", names).select(*questions.columns, "sources")
+    told = choose(asked)
+    told = told.withColumn("failed", problem(told, "sources"))
+    return chosen_sources(told, "query_id", "reply", names).select(*questions.columns, "sources", "failed")
 
 
 def merge_pool(old: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -91,36 +94,44 @@ def trim_pool(pool: DataFrame, n: int, score: Step = rule_pair_score) -> DataFra
     return large.select(*kept).unionByName(small.select(*kept))
 
 
+def graded(state: DataFrame, grade: Step) -> DataFrame:
+    """Adds ``sufficient``, ``verdict`` and ``failed``. Only questions with passages cost a call."""
+    prompt = fill(GRADE_TEMPLATE, question=F.col("question"), context=F.col("passages"))
+    told = grade(state.filter("n_passages > 0").withColumn("prompt", prompt))
+    told = told.withColumn("failed", problem(told, "grade")).select(*state.columns, "reply", "failed")
+    none = F.lit(None).cast("string")
+    both = told.unionByName(state.filter("n_passages = 0").withColumns({"reply": none, "failed": none}))
+    return both.withColumns({
+        "sufficient": is_sufficient(F.col("reply"), F.col("n_passages")),
+        "verdict": grade_verdict(F.col("reply"), F.col("n_passages"))}).drop("reply", "passages", "n_passages")
+
+
 def run_rounds(questions: DataFrame, corpus: Corpus, steps: AgentSteps = AgentSteps(),
                cfg: RetrievalConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """``(state, pool)``: at most three rounds; finished questions leave the loop. A failed rewrite keeps the query.
+    """``(state, pool)``: at most three rounds; finished questions leave the loop.
 
-    Every round ends in a written table, so a lost executor never replays earlier rounds.
-    ``corpus`` is searched up to three times: pass a ``stored`` one.
+    A question whose source choice, grade or rewrite got no reply leaves it too, with the reason in ``failed``: it is
+    not answered from what the step might have said. Every round ends in a written table, so a lost executor never
+    replays earlier rounds. ``corpus`` is searched up to three times: pass a ``stored`` one.
     """
+    kept = ["query_id", "question", "current_query", "sources", "attempts", "sufficient", "verdict", "failed"]
     open_ = identify_sources(questions.select("query_id", "question"), source_names(corpus.chunks), steps.choose)
     open_ = materialize(
         open_.withColumn("current_query", F.col("question")).withColumn("attempts", F.lit(0)), "open"
     )
-    pool = None
-    done_state, done_pool = [], []
+    unsaid = {"sufficient": F.lit(None).cast("boolean"), "verdict": F.lit(None).cast("string")}
+    done_state, done_pool = [open_.filter("failed is not null").withColumns(unsaid).select(*kept)], []
+    open_, pool = open_.filter("failed is null").drop("failed"), None
     for _ in range(cfg.max_attempts + 1):
         asked = open_.select("query_id", F.col("current_query").alias("question"), "sources")
         found = retrieve(asked, corpus, steps.hyde, steps.embed, steps.score, cfg)
         found = found.drop("question", "pair_score").join(open_.select("query_id", "question"), "query_id")
         pool = materialize(trim_pool(merge_pool(pool, found), cfg.k_final, steps.score), "pool")
         context = assemble_context(pool).select("query_id", "passages", "n_passages")
-        state = open_.join(context, "query_id", "left").withColumn("attempts", F.col("attempts") + 1)
-        state = steps.grade(state.withColumn(
-            "prompt", fill(GRADE_TEMPLATE, question=F.col("question"), context=F.col("passages"))
-        ))
-        state = (
-            state.withColumn("sufficient", is_sufficient(F.col("reply"), F.col("n_passages")))
-            .withColumn("verdict", grade_verdict(F.col("reply"), F.col("n_passages")))
-            .select("query_id", "question", "current_query", "sources", "attempts", "sufficient", "verdict")
-        )
-        state = materialize(state, "state")
-        finished = F.col("sufficient") | (F.col("attempts") > cfg.max_attempts)
+        state = open_.join(context, "query_id", "left").withColumns({
+            "attempts": F.col("attempts") + 1, "n_passages": F.coalesce("n_passages", F.lit(0))})
+        state = materialize(graded(state, steps.grade).select(*kept), "state")
+        finished = F.col("failed").isNotNull() | F.col("sufficient") | (F.col("attempts") > cfg.max_attempts)
         done_state.append(state.filter(finished))
         done_pool.append(pool.join(state.filter(finished).select("query_id"), "query_id", "left_semi"))
         rest = state.filter(~finished)
@@ -128,21 +139,30 @@ def run_rounds(questions: DataFrame, corpus: Corpus, steps: AgentSteps = AgentSt
             break
         prompt = fill(REWRITE_TEMPLATE, question=F.col("question"), query=F.col("current_query"),
                       verdict=F.col("verdict"))
-        open_ = steps.rewrite(rest.withColumn("prompt", prompt)).select(
-            "query_id", "question", "sources", F.coalesce(strip(F.col("reply")), F.col("current_query")).alias("current_query"), "attempts"
-        )
-        open_ = materialize(open_, "open")
+        told = steps.rewrite(rest.drop("failed").withColumn("prompt", prompt))
+        told = told.withColumn("failed", problem(told, "rewrite"))
+        query = F.coalesce(strip(F.col("reply")), F.col("current_query"))
+        told = materialize(told.withColumn("current_query", query).select(*kept), "open")
+        done_state.append(told.filter("failed is not null"))
+        open_ = told.filter("failed is null").select("query_id", "question", "sources", "current_query", "attempts")
         pool = pool.join(open_.select("query_id"), "query_id", "left_semi")
-    state_all, pool_all = done_state[0], done_pool[0]
-    for s, p in zip(done_state[1:], done_pool[1:]):
-        state_all, pool_all = state_all.unionByName(s), pool_all.unionByName(p)
-    return state_all, pool_all
+        if open_.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done_state), reduce(DataFrame.unionByName, done_pool)
 
 
 def ask_in_rounds(questions: DataFrame, corpus: Corpus, steps: AgentSteps = AgentSteps(),
                   cfg: RetrievalConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """``(answers, pool)``: answers carry sources, attempts, sufficiency and the last verdict."""
+    """``(answers, pool)``: answers carry sources, attempts, sufficiency and the last verdict.
+
+    Where a step got no reply the answer is NULL and ``failed`` says which and why; no answer is generated after a
+    failed step."""
     state, pool = run_rounds(questions, corpus, steps, cfg)
-    answers = answer(questions, pool, steps.generate)
-    summary = state.select("query_id", "current_query", "sources", "attempts", "sufficient", "verdict")
-    return answers.join(summary, "query_id"), pool
+    summary = state.select("query_id", "current_query", "sources", "attempts", "sufficient", "verdict", F.col("failed").alias("stopped"))
+    told = questions.select("query_id", "question").join(summary, "query_id")
+    answers = answer(told.filter("stopped is null").select("query_id", "question"), pool, steps.generate)
+    out = answers.withColumnRenamed("failed", "unanswered").join(summary.filter("stopped is null"), "query_id")
+    none = {"prompt": F.lit(None).cast("string"), "answer": F.lit(None).cast("string"), "n_passages": F.lit(None).cast(answers.schema["n_passages"].dataType)}
+    stopped = told.filter("stopped is not null").withColumns({**none, "unanswered": F.lit(None).cast("string")})
+    both = out.unionByName(stopped)
+    return both.withColumn("failed", F.coalesce("stopped", "unanswered")).drop("stopped", "unanswered"), pool

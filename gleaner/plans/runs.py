@@ -32,8 +32,8 @@ def run_pending(questions: DataFrame, corpus: Corpus, results_path: str, steps:
                 cfg: RetrievalConfig = DEFAULT) -> int:
     """Answers the open ``questions(id, question, reponse_attendue)`` and appends their records.
 
-    Returns how many were answered. An interrupted batch leaves no record and is asked again, and so does a question
-    whose model call failed to the last try.
+    Returns how many were answered. An interrupted batch leaves no record and is asked again, and so is a question
+    whose model call failed to the last try, in any step; its reason is appended to ``<results_path>-failed``.
     """
     todo = materialize(open_questions(questions, results_path), "todo")
     count = todo.count()
@@ -42,7 +42,11 @@ def run_pending(questions: DataFrame, corpus: Corpus, results_path: str, steps:
     start = time.monotonic()
     asked = todo.select(F.col("id").alias("query_id"), "question")
     answers, pool = ask_in_rounds(asked, corpus, steps, cfg)
-    answers = materialize(answers.filter("answer is not null"), "answers")
+    answers = materialize(answers, "answers")
+    failed = answers.filter("answer is null").select(F.col("query_id").alias("id"), "failed")
+    if not failed.isEmpty():
+        failed.write.mode("append").json(f"{results_path.rstrip('/')}-failed")
+    answers = answers.filter("answer is not null")
     count = answers.count()
     if count == 0:
         return 0
@@ -52,8 +56,9 @@ def run_pending(questions: DataFrame, corpus: Corpus, results_path: str, steps:
 
 def reply_to_chats(chat: DataFrame, corpus: Corpus, model: str, reply_id: str, created: int,
                    steps: AgentSteps = AgentSteps(), cfg: RetrievalConfig = DEFAULT) -> DataFrame:
-    """``(conv_id, body)``: the newest message of each ``chat(conv_id, turn, role, text)`` answered."""
+    """``(conv_id, body)``: the newest message of each ``chat(conv_id, turn, role, text)`` answered. A chat whose model
+    calls failed has a NULL body."""
     asked = last_message(chat).select(F.col("conv_id").alias("query_id"), "question")
     answers, _ = ask_in_rounds(asked, corpus, steps, cfg)
     body = reply_envelope(F.col("answer"), model, reply_id, F.lit(created))
-    return answers.select(F.col("query_id").alias("conv_id"), body.alias("body"))
+    return answers.select(F.col("query_id").alias("conv_id"), F.when(F.col("answer").isNotNull(), body).alias("body"))
