@@ -141,12 +141,17 @@ FROM a{rounds} JOIN c{rounds} ON a{rounds}.c = c{rounds}.c
 
 
 WARC = r"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
-g AS (SELECT html, max(page_id) AS top FROM p WHERE payload_bytes >= 1000 GROUP BY html)
-SELECT page_id, payload_bytes, sha1(p.html) AS payload_digest,
-       CASE WHEN page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN page_id <> top THEN top END AS refers_to
-FROM p LEFT JOIN g ON p.html = g.html
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, row_number() OVER () AS rid FROM pages
+), g AS (
+  SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST, rid) AS place,
+         max(page_id) OVER (PARTITION BY html) AS top
+  FROM p
+)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND place > 1 THEN top END AS refers_to
+FROM g
 """
 
 EXACT_DEDUP = r"""

@@ -10,7 +10,9 @@ Reading joins capture, request and metadata through the concurrent-to identifier
 record crosses the shuffle. Duplicate targets are found from digests, so no payload is shuffled to find them.
 
 Defined results: null html is an empty payload, a null url an empty one, a null page_id stays null and never wins over
-another. Rows that repeat id, url and payload give one capture. Other columns are ignored. White space and control
+another. Every row is a capture of its own, also one that repeats another: pages are written with a row number first,
+which is part of their record ids, and of equal rows one is the response. A group without any page_id has a response
+like any other, and its revisits refer to a page without id. Other columns are ignored. White space and control
 characters of an url are percent-encoded in headers.
 """
 
@@ -43,22 +45,27 @@ def cleaned(pages: DataFrame) -> DataFrame:
         "sha1": F.sha1(F.col("payload").cast("binary")), "payload_bytes": F.octet_length("payload").cast("long")})
 
 
-def record_id(page_id: Column, url: Column, sha1: Column, kind: str) -> Column:
-    """A name-based urn; equal rows have equal ids."""
-    h = F.md5(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("-")), sha1, F.lit(kind), url).cast("binary"))
+def numbered(pages: DataFrame) -> DataFrame:
+    """``cleaned`` pages written with a ``row`` number, unique and the same wherever they are read."""
+    return written(cleaned(pages).withColumn("row", F.monotonically_increasing_id()), "pages")
+
+
+def record_id(row: Column, url: Column, sha1: Column, kind: str) -> Column:
+    """A name-based urn of a row's record."""
+    h = F.md5(F.concat_ws("|", row.cast("string"), sha1, F.lit(kind), url).cast("binary"))
     parts = [F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
 def revisits(rows: DataFrame) -> DataFrame:
-    """page_id, url, sha1 of rows that revisit, with the record id of their response."""
+    """The ``row`` of rows that revisit, with the record id and url of their response."""
     least = F.col("payload_bytes") >= LEAST_REVISIT
-    slim = written(rows.filter(least).select("page_id", "url", "sha1", "payload_bytes",
-                                             F.sha2(F.col("payload").cast("binary"), 256).alias("digest")).distinct(), "payload-digests")
-    groups = slim.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    others = slim.join(groups, "digest").filter(~F.struct("page_id", "url").eqNullSafe(F.col("kept")))
-    target = record_id(F.col("kept.page_id"), F.col("kept.url"), F.col("sha1"), "response")
-    return others.select("page_id", "url", "sha1", target.alias("refers_to"), F.col("kept.url").alias("refers_url"))
+    slim = written(rows.filter(least).select("row", "page_id", "url", "sha1", F.sha2(F.col("payload").cast("binary"), 256).alias("digest")),
+                   "payload-digests")
+    groups = slim.groupBy("digest").agg(F.max(F.struct("page_id", "row", "url", "sha1")).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    others = slim.join(groups, "digest").filter(F.col("row") != F.col("kept.row"))
+    target = record_id(F.col("kept.row"), F.col("kept.url"), F.col("kept.sha1"), "response")
+    return others.select("row", target.alias("refers_to"), F.col("kept.url").alias("refers_url"))
 
 
 def headed(headers: list[tuple[str, Column]], block: Column) -> Column:
@@ -71,13 +78,12 @@ def headed(headers: list[tuple[str, Column]], block: Column) -> Column:
 
 def records(rows: DataFrame, doubles: DataFrame) -> DataFrame:
     """One column ``record``: three records of each of ``cleaned`` rows."""
-    n = doubles.count()
-    keyed = doubles.select(*[F.col(c).alias(f"r_{c}") for c in ("page_id", "url", "sha1")], "refers_to", "refers_url")
-    same = (rows["page_id"].eqNullSafe(keyed["r_page_id"])) & (rows["url"] == keyed["r_url"]) & (rows["sha1"] == keyed["r_sha1"])
-    joined = rows.join(small(keyed, n, 400), same, "left")
-    page, url, sha1 = F.col("page_id"), F.col("url"), F.col("sha1")
+    width = F.octet_length("refers_to") + F.octet_length("refers_url") + 48
+    size = doubles.agg(F.coalesce(F.sum(width), F.lit(0)).alias("n")).first()["n"]
+    joined = rows.join(small(doubles, size, 1), "row", "left")
+    row, page, url, sha1 = (F.col(c) for c in ("row", "page_id", "url", "sha1"))
     again = F.col("refers_to").isNotNull()
-    own = record_id(page, url, sha1, "response")
+    own = record_id(row, url, sha1, "response")
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
                     F.col("payload_bytes").cast("string"), F.lit(CRLF * 2))
     host = F.coalesce(F.regexp_extract(url, r"^\w+://([^/?#]*)", 1), F.lit(""))
@@ -93,17 +99,17 @@ def records(rows: DataFrame, doubles: DataFrame) -> DataFrame:
         ("WARC-Refers-To-Target-URI", F.col("refers_url")), ("Content-Type", F.lit("application/http;msgtype=response")),
     ], F.when(again, head).otherwise(F.concat(head, F.col("payload"))))
     asked = headed([
-        ("WARC-Type", F.lit("request")), ("WARC-Record-ID", record_id(page, url, sha1, "request")), *shared,
+        ("WARC-Type", F.lit("request")), ("WARC-Record-ID", record_id(row, url, sha1, "request")), *shared,
         ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/http;msgtype=request"))], request)
     about = headed([
-        ("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", record_id(page, url, sha1, "metadata")), *shared,
+        ("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", record_id(row, url, sha1, "metadata")), *shared,
         ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))], fields)
     return joined.select(F.explode(F.array(asked, capture, about)).alias("record"))
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Gzipped WARC files of all pages under ``path``."""
-    rows = cleaned(pages)
+    rows = numbered(pages)
     doubles = written(revisits(rows), "revisits")
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("bytes")).first()
     each = max(1, FILE_BYTES * size["n"] // max(1, size["bytes"] + 1000 * size["n"]))

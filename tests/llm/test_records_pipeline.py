@@ -1,13 +1,14 @@
 import hashlib
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gleaner.llm import chat, quality_classifier, quality_rules, warc
 from gleaner.llm.common import documents, fold
-from gleaner.llm.queries import GOOD, VOCABULARY, op4_chat_windows, op5_warc
+from gleaner.llm.queries import GOOD, VOCABULARY, WARC, op4_chat_windows, op5_warc
 from test_dedup import expected_simhash, fingerprint_by_hand, union
 from test_text_models import check_packed
 
@@ -135,11 +136,28 @@ def test_warc_files_are_plain_warc(spark, page_rows, tmp_path):
 
 def test_warc_repeats_and_no_rows(spark, page_rows, tmp_path):
     warc.write_archives(spark.createDataFrame(page_rows[:3] * 2, PAGES), str(tmp_path / "w"))
-    assert warc.assembled(warc.read_archives(spark, str(tmp_path / "w"))).count() == 3
+    assert warc.assembled(warc.read_archives(spark, str(tmp_path / "w"))).count() == 6
     warc.write_archives(spark.createDataFrame([], PAGES), str(tmp_path / "none"))
     assert warc.digests(warc.assembled(warc.read_archives(spark, str(tmp_path / "none")))).count() == 0
 
 
+def test_warc_repeated_rows_and_nulls_equal_the_sql(spark, tmp_path):
+    """A record for every row, of equal payloads one response."""
+    long, other = "<p>" + "x" * 1200, "é" * 600
+    pages = [(1, "u", long)] * 3 + [(2, "u", long), (2, "v", long)] + [(None, "u", long), (None, None, other), (None, "w", other)]
+    pages += [(5, "u", "short")] * 2 + [(6, None, None), (6, None, None), (7, "u", "y" * 999), (8, "u", "y" * 999)]
+    sf = str(tmp_path)
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{sf}/pages.parquet")
+    got = sorted(repr(tuple(r[c] for c in sorted(r.asDict()))) for r in op5_warc(spark, sf).collect())
+    db = duckdb.connect()
+    table = spark.read.parquet(f"{sf}/pages.parquet").toArrow()
+    db.register("pages", table)
+    found = db.execute(WARC)
+    names = [d[0] for d in found.description]
+    want = sorted(repr(tuple(r[names.index(c)] for c in sorted(names))) for r in found.fetchall())
+    assert got == want and len(got) == len(pages)
+
+
 def test_warc_query_covers_every_page(spark):
     sf = "/root/testdata/sf0.001"
     assert op5_warc(spark, sf).count() == spark.read.parquet(f"{sf}/pages.parquet").count()
