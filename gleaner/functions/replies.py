@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ YES = "oui"
 NO_PASSAGES = "NON — aucun extrait récupéré"
 # Source lists up to this length are compared inside the row.
 INLINE_NAMES = 1000
+# Bytes of the names of an automaton; a node takes some fifty bytes in each Python worker.
+AUTOMATON_BYTES = 4 * 1024 * 1024
 
 
 def is_sufficient(reply: Column, n_passages: Column) -> Column:
@@ -36,12 +42,35 @@ def judge_number(reply: Column) -> Column:
     return F.when(first.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), first)))
 
 
+def _names_by_automaton(pairs):
+    """A column function: the sorted names of ``pairs``, a broadcast list of (needle, name), whose needle a text holds."""
+
+    @F.pandas_udf("array<string>")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        needles: dict[str, list[str]] = {}
+        for needle, name in pairs.value:
+            needles.setdefault(needle, []).append(name)
+        always = needles.pop("", [])
+        automaton = ahocorasick.Automaton()
+        for needle, names in needles.items():
+            automaton.add_word(needle, names)
+        automaton.make_automaton()
+        for texts in batches:
+            yield pd.Series([
+                None if text is None else sorted({n for _, names in automaton.iter(text) for n in names}.union(always)) or None
+                for text in texts
+            ], dtype=object)
+
+    return find
+
+
 def names_in_text(df: DataFrame, key: str, text: str, names: DataFrame, out: str = "names") -> DataFrame:
     """Adds ``out``: the entries of ``names(name, needle)`` whose needle occurs in ``text``, ignoring
     case, in alphabetical order; NULL when there is none.
 
-    A short list is compared inside each row. A long one is met by an equi-join on the pieces of the
-    text that have the length of a needle, so no row is paired with every name.
+    A short list is compared inside each row. A longer one becomes an automaton that meets all names in one pass over
+    a text, in Arrow batches. Only a list too large for the memory of a task is met by an equi-join on the pieces of
+    the text that have the length of a needle; so no row is paired with every name.
     """
     listed = names.select("name", F.lower("needle").alias("needle")).distinct()
     head = listed.limit(INLINE_NAMES + 1).collect()
@@ -56,6 +85,11 @@ def names_in_text(df: DataFrame, key: str, text: str, names: DataFrame, out: str
         return df.withColumn(out, F.array_distinct(hits)).withColumn(
             out, F.when(F.size(out) > 0, F.col(out))
         )
+    size = listed.agg(F.sum(F.octet_length("needle")).alias("n")).first()["n"]
+    if size <= AUTOMATON_BYTES:
+        pairs = [(r["needle"], r["name"]) for r in listed.collect()]
+        found = _names_by_automaton(df.sparkSession.sparkContext.broadcast(pairs))
+        return df.withColumn(out, found(low))
     # File names have at most 255 characters, so there are few distinct lengths.
     sizes = [r["n"] for r in listed.select(F.length("needle").alias("n")).distinct().collect()]
     starts = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
