@@ -23,6 +23,7 @@ from itertools import chain
 import numpy as np
 import regex
 import tiktoken
+from tokenizers import pre_tokenizers
 
 #: White space of the pattern below, as Unicode defines it.
 WHITE = r"\x09-\x0d\x20\x85\xa0  -     　"
@@ -30,6 +31,7 @@ WHITE = r"\x09-\x0d\x20\x85\xa0  -     　"
 PLAIN_PATTERN = (
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 PATTERN = regex.compile(PLAIN_PATTERN)
+PRE_TOKENIZER = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
 #: Fragments that a worker keeps, of at most ``LONGEST`` bytes each.
 MEMO = 600_000
 LONGEST = 64
@@ -114,7 +116,10 @@ class Encoder:
     def encode_fragment(self, fragment: bytes) -> list[int]:
         if fragment.isalpha() or fragment[:1] == b" " and fragment[1:].isalpha():
             return self.merged(fragment)  # one word of ASCII letters
-        return list(chain.from_iterable(self.merged(word.encode()) for word in PATTERN.findall(fragment.decode())))
+        text = fragment.decode()
+        # Which code points are letters or numbers depends on the Unicode of the library, so it cuts all but ASCII.
+        words = PATTERN.findall(text) if fragment.isascii() else (text[i:j] for _, (i, j) in PRE_TOKENIZER.pre_tokenize_str(text))
+        return list(chain.from_iterable(self.merged(word.encode()) for word in words))
 
     def merged(self, word: bytes) -> list[int]:
         """Merge the pair of the lowest rank, leftmost first, until none is left."""
