@@ -246,10 +246,12 @@ def contextualize(chunks: DataFrame, step: Step = rule_context, template: str =
                   page=F.col("page_text"), chunk=F.col("body"))
     answered = step(chunks.withColumn("prompt", prompt))
     if "reply_error" in answered.columns:
-        # A page is stored whole or stays pending: one failed line holds all its chunks back.
-        page = Window.partitionBy(F.xxhash64("source", "page", "page_text"), "source", "page")
+        # A page is stored whole or stays pending: one failed line holds all its chunks back. Neither page text nor
+        # prompt, which repeats it, crosses the exchange.
+        answered = answered.withColumn("_page", F.xxhash64("source", "page", "page_text")).drop("prompt", "page_text")
+        page = Window.partitionBy("_page", "source", "page")
         failed = F.count("reply_error").over(page)
-        answered = answered.withColumn("_failed", failed).filter("_failed = 0").drop("_failed", "reply_error")
+        answered = answered.withColumn("_failed", failed).filter("_failed = 0").drop("_failed", "_page", "reply_error")
     return (
         answered.withColumn("context_line", context_line(F.col("reply")))
         .withColumn("text", prefixed(F.col("context_line"), F.col("body")))
