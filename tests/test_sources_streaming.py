@@ -90,14 +90,15 @@ def test_store(spark, tmp_path):
     assert [r.source for r in store.source_listing(df.filter("source is not null")).collect()] == ["a.txt", "b.txt"]
 
 
-def test_stream_is_incremental_and_idempotent(spark, tmp_path):
+@pytest.mark.parametrize("keep_keys", [True, False])
+def test_stream_is_incremental_and_idempotent(spark, tmp_path, keep_keys):
     inbox, out, state = (str(tmp_path / n) for n in ("inbox", "out", "state"))
     schema = "source string, page int, text string"
     first = spark.createDataFrame([("a.txt", 1, "# T\n" + "mot " * 400)], schema)
     first.write.parquet(f"{inbox}/1")
 
     def run():
-        ingest_stream(spark, f"{inbox}/*", schema, out, state).awaitTermination()
+        ingest_stream(spark, f"{inbox}/*", schema, out, state, keep_keys=keep_keys).awaitTermination()
         return spark.read.parquet(out)
 
     one = run().select("chunk_id").collect()
@@ -111,6 +112,18 @@ def test_stream_is_incremental_and_idempotent(spark, tmp_path):
     assert {r.chunk_id for r in whole.collect()} == {r.chunk_id for r in two.collect()}
 
 
+def test_a_batch_reads_nothing_that_was_stored(spark, tmp_path):
+    """The keys are in the state: stored rows may even be moved away."""
+    inbox, out, state = (str(tmp_path / n) for n in ("inbox", "out", "state"))
+    schema = "source string, page int, text string"
+    for i, text in enumerate(("un texte assez long pour rester " * 3, "un autre texte assez long ici " * 3)):
+        rows = [("a.txt", 1, "un texte assez long pour rester " * 3), ("a.txt", 2 + i, text)]
+        spark.createDataFrame(rows, schema).write.parquet(f"{inbox}/{i}")
+        path = f"{out}-{i}"
+        ingest_stream(spark, f"{inbox}/*", schema, path, state).awaitTermination()
+        assert sorted(r.page for r in spark.read.parquet(path).collect()) == ([1, 2], [3])[i]
+
+
 class FakeSession:
     """A session whose settings can be chosen; the real one fixes them at start."""
 
