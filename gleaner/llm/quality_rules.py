@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import per_batch, texts
+from gleaner.llm.common import per_batch, texts, written
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -151,6 +151,21 @@ def ablation(rows: DataFrame, policy: Policy) -> DataFrame:
     return total.select(F.lit(policy.name).alias("policy"), F.lit(policy.version).alias("version"), "r.*", "n_rejected", "n_docs")
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger of ``docs``, written once; policies and ablations are read from it."""
+    return written(ledger(docs), "ledger")
+
+
+def with_ablation(rows: DataFrame, policy: Policy) -> DataFrame:
+    """Adds ``sole_rule``, the only rule of the policy that a document fails (null otherwise), and ``sole_docs``, how many
+    documents fail that rule alone: the documents that the policy would keep without it."""
+    counts = ablation(rows, policy).select(F.col("rule").alias("sole_rule"), F.col("n_failed_alone").alias("sole_docs"))
+    bits = F.col("failures").bitwiseAND(F.lit(policy.mask))
+    sole = F.coalesce(*[F.when(bits == F.lit(1 << rule.bit), F.lit(rule.name)) for rule in RULES])
+    # A row for each rule.
+    return rows.withColumn("sole_rule", sole).join(F.broadcast(counts), "sole_rule", "left")
+
+
 def kept_rows(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     """The rows of ``docs`` that pass the policy, as they are."""
 

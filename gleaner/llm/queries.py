@@ -69,11 +69,11 @@ def op9_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_rules.ledger(documents(spark, sf_dir))
-    return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        quality_rules.fails(quality_rules.BASE).alias("base_failed"),
-        (~quality_rules.fails(quality_rules.STANDARD)).alias("kept"), "failures")
+    rows = quality_rules.stored_ledger(documents(spark, sf_dir))
+    found = quality_rules.judged(quality_rules.with_ablation(rows, quality_rules.STANDARD), (quality_rules.BASE, quality_rules.STANDARD))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("kept_base_v1")).alias("base_failed"),
+        F.col("kept_standard_v1").alias("kept"), "failures", "sole_rule", "sole_docs")
 
 
 def op11_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,6 +197,9 @@ WITH d AS (
   FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       failures % 4 <> 0 AS base_failed, failures = 0 AS kept, failures::BIGINT AS failures
-FROM f
+       failures % 4 <> 0 AS base_failed, failures = 0 AS kept, failures::BIGINT AS failures, sole_rule,
+       CASE WHEN sole_rule IS NOT NULL THEN count(*) OVER (PARTITION BY sole_rule) END::BIGINT AS sole_docs
+FROM (SELECT *, CASE failures WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'symbols' WHEN 8 THEN 'repeated_lines'
+                     WHEN 16 THEN 'short_words' WHEN 32 THEN 'long_words' WHEN 64 THEN 'capitals' WHEN 128 THEN 'exclamations' END AS sole_rule
+      FROM f)
 """
