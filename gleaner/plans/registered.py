@@ -297,6 +297,16 @@ def grounded_answers(spark, sf_dir):
     return ask.answer(asked, found).select("query_id", "answer", "n_passages")
 
 
+def refused_answers(spark, sf_dir):
+    """Answers to the questions, and to source names, which no document holds: those find no passage and are refused."""
+    docs = documents(spark, sf_dir)
+    named = docs.select(F.col("source").alias("query_id"), F.col("source").alias("question")).distinct()
+    asked = questions(spark, sf_dir).withColumn("query_id", F.col("query_id").cast("string")).unionByName(named)
+    best = maxscore.bm25_top_k(asked, lexical.build_index(docs), TOP, replace(DEFAULT, fill_zero=False))
+    told = docs.join(best, "chunk_id")
+    return ask.answer(asked, told).select("query_id", "answer", "n_passages")
+
+
 def chat_last_turn(spark, sf_dir):
     return prompts.last_message(table(spark, sf_dir, "conversations"))
 
@@ -557,6 +567,16 @@ def score_metadata(spark, sf_dir):
     return metrics.with_metadata(scores, meta)
 
 
+def scores_csv(spark, sf_dir):
+    """The same rows, written as CSV and read back."""
+    path = scratch_path(spark, "scores")
+    records.write_scores(score_metadata(spark, sf_dir), path)
+    schema = "id long, n_chars long, niveau string, source string, difficulte_rag string"
+    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
+    # No value is NULL here; by default an empty text would be read as one.
+    return rows.option("nullValue", "\\N").csv(path)
+
+
 def gold_profile(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     return metrics.profile(rows, "lang", "source", "quality")
@@ -572,10 +592,10 @@ REGISTERED = (
     tokenize_counts, encoding_repair, display_lines, page_markdown, contents_pages, header_sections, merge_small,
     chunk_windows, chunk_recursive, context_prefix, page_chunks, document_chunks, term_idf, bm25_top20,
     bm25_bounded, bm25_by_source, bm25_filled, vector_top20, vector_pivoted, vector_filtered, hashed_vectors, hashed_top20, corpus_reopened, corpus_grown, rrf_fusion,
-    rrf_diverse_top10, rerank_top5, context_assembly, grounded_answers, chat_last_turn, chat_last_user,
+    rrf_diverse_top10, rerank_top5, context_assembly, grounded_answers, refused_answers, chat_last_turn, chat_last_user,
     chat_envelope, source_replies, grade_replies, judge_numbers, pool_merge, agent_rounds, pending_items,
     progress_counts, ingest_resume, result_records, store_scan, source_listing, stream_windows,
     planted_passages, recall_at_5, eval_samples, claim_verdicts, faithfulness, token_recall,
-    answer_relevancy, context_precision, answer_correctness, score_table, metric_report, score_metadata, gold_profile,
+    answer_relevancy, context_precision, answer_correctness, score_table, metric_report, score_metadata, scores_csv, gold_profile,
     refusal_rate,
 )

@@ -382,6 +382,9 @@ qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tok
         "rerank_top5": ctes(HYBRID) + " SELECT query_id, rank, chunk_id, source, pair_score, text FROM best",
         "grounded_answers": ctes(HYBRID)
         + f" SELECT b.item_id AS query_id, coalesce(arg_min(x.text, x.rank), {quoted(REFUSAL)}) AS answer, count(x.rank) AS n_passages FROM benchmark b LEFT JOIN best x ON x.query_id = b.item_id GROUP BY b.item_id",
+        "refused_answers": ctes(BM25, ranked("r", "scored", 5)) + f""" SELECT CAST(query_id AS VARCHAR) AS query_id,
+  arg_min(text, rank) AS answer, count(*) AS n_passages FROM r JOIN chunks USING (chunk_id) GROUP BY query_id
+UNION ALL SELECT DISTINCT source, {quoted(REFUSAL)}, 0 FROM documents""",
         "context_assembly": ctes(PASSAGES) + rf""" SELECT query_id,
   string_agg('Source : ' || coalesce(source, '?') || E'\n' || text, {SEP} ORDER BY rank) || E'\n\nQUESTION : ' || any_value(question) AS prompt,
   string_agg(text, {SEP} ORDER BY rank) AS passages, count(*) AS n_passages FROM hits GROUP BY query_id""",
@@ -436,6 +439,8 @@ p AS (SELECT *, sum(v) OVER (PARTITION BY id ORDER BY rank) / rank AS prec FROM
   round(avg(faithfulness), 6) AS faithfulness, round(avg(answer_correctness), 6) AS answer_correctness,
   repeat('█', CAST(floor(round(avg(faithfulness), 6) * 20) AS INT)) AS bar FROM s GROUP BY ROLLUP (niveau)""",
         "score_metadata": """SELECT d.doc_id AS id, n_chars, coalesce(CAST(quality AS VARCHAR), '') AS niveau,
+  coalesce('s' || toxic, '') AS source, '' AS difficulte_rag FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
+        "scores_csv": """SELECT d.doc_id AS id, n_chars, coalesce(CAST(quality AS VARCHAR), '') AS niveau,
   coalesce('s' || toxic, '') AS source, '' AS difficulte_rag FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
         "gold_profile": """SELECT lang, source, quality, CAST(grouping(lang, source, quality) AS INT) AS grouping, count(*) AS n
 FROM documents JOIN labels USING (doc_id) GROUP BY CUBE (lang, source, quality)""",
