@@ -27,6 +27,8 @@ class RetrievalConfig:
     broadcast_bytes: int = 64 * 1024 * 1024
     # Target size of a shuffle partition, and of one part of a chunk table looked up by id.
     partition_bytes: int = 128 * 1024 * 1024
+    # Token text of one partition of a corpus. Its words take some twenty times that while they are counted.
+    token_bytes: int = 16 * 1024 * 1024
     # Most folders a chunk table is cut into for lookups by id; a folder holds as many files as needed.
     lookup_parts: int = 10_000
     # Terms with more postings than this are spread over several shuffle keys.

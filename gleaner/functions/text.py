@@ -74,7 +74,7 @@ def token_text(col: Column) -> Column:
 
 def split_tokens(col: Column) -> Column:
     """Inverse of ``token_text``; empty text gives an empty array."""
-    return F.filter(F.split(col, " "), lambda t: t != "")
+    return F.when(col == "", F.array().cast("array<string>")).otherwise(F.split(col, " "))
 
 
 def repair_encoding(col: Column) -> Column:

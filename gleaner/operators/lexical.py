@@ -18,7 +18,7 @@ from gleaner.sources.scratch import materialize
 BYTES_PER_TOKEN = 8
 # Up to this many query terms are pushed into the scan of stored postings.
 PUSHED_TERMS = 1000
-# Parts of the chunks that are ranked on their own before a query's final rank.
+# Parts of the tasks whose best rows are ranked together before a query's final rank.
 TOP_PARTS = 32
 # Parts that chunks are dealt into for bounds of scores.
 BLOCKS = 16
@@ -114,13 +114,13 @@ def token_count(norm: Column) -> Column:
 
 
 def by_chunk(tokens: DataFrame, n_tokens: float, cfg: RetrievalConfig = DEFAULT) -> DataFrame:
-    """Hash-partitions on ``chunk_id``. The corpus length is known by then: where the session's
-    partition count would leave partitions above the target size, more are asked for. Lengths are
-    counted behind the exchange, so that lexical and vector plans ask for the same one."""
-    usual = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    needed = -(-int(n_tokens * BYTES_PER_TOKEN) // cfg.partition_bytes)
-    rows = tokens.drop("dl")
-    spread = rows.repartition(needed, "chunk_id") if needed > usual else rows.repartition("chunk_id")
+    """Hash-partitions on ``chunk_id``. The corpus length is known by then and sets the number of partitions: they hold
+    ``cfg.token_bytes`` of token text, since counting a partition's words takes many times its text. A number that is
+    named is not lowered by AQE, which goes by compressed bytes. Lengths are counted behind the exchange, so that lexical
+    and vector plans ask for the same one."""
+    cores = tokens.sparkSession.sparkContext.defaultParallelism
+    needed = -(-int(n_tokens * BYTES_PER_TOKEN) // min(cfg.token_bytes, cfg.partition_bytes))
+    spread = tokens.drop("dl").repartition(max(needed, cores), "chunk_id")
     return spread.withColumn("dl", token_count(F.col("norm")))
 
 
@@ -232,10 +232,10 @@ def bm25_scores(queries: DataFrame, index: LexicalIndex, cfg: RetrievalConfig =
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` per query, ties by chunk id. Spark keeps k rows per task before an exchange; a first round within
-    ``TOP_PARTS`` hash parts of the chunks bounds what the task of one query sorts, however many tasks there are."""
+    """Best ``k`` per query, ties by chunk id. Spark keeps k rows per query and task before an exchange; a first round
+    within ``TOP_PARTS`` groups of tasks bounds what the task of one query sorts, however many tasks there are."""
     best = (F.desc("score"), F.asc("chunk_id"))
-    part = F.pmod(F.xxhash64("chunk_id"), F.lit(TOP_PARTS))
+    part = F.pmod(F.spark_partition_id(), F.lit(TOP_PARTS))
     first = Window.partitionBy("query_id", "_part").orderBy(*best)
     dealt = scored.withColumn("_part", part).withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
     order = Window.partitionBy("query_id").orderBy(*best)

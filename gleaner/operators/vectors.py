@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from gleaner.config import DEFAULT, RetrievalConfig
-from gleaner.functions.text import split_tokens
+from gleaner.functions.words import coded, slices
 from gleaner.operators.lexical import top_k, with_sources
 from gleaner.sources.scratch import materialize, scratch_path
 
@@ -24,39 +25,53 @@ PIVOT_SAMPLE = 4096
 TILE = 256
 
 
-def term_bucket(term: Column, dim: int) -> Column:
-    head = F.conv(F.substring(F.md5(term.cast("binary")), 1, 8), 16, 10).cast("long")
-    return (head % dim).cast("int")
+def term_bucket(term: str, dim: int) -> int:
+    return int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dim
 
 
-def bucket_counts(tokens: DataFrame, key: list[str], dim: int) -> DataFrame:
-    """``(key, bucket, n)``: how many tokens of each row fall into each bucket."""
-    return (
-        tokens.select(*key, F.explode(split_tokens(F.col("norm"))).alias("term"))
-        .select(*key, term_bucket(F.col("term"), dim).alias("bucket"))
-        .groupBy(*key, "bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+def _counted(dim: int, key: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of ``(key, norm)``, rows of one key side by side, to batches of ``(key, vector)``."""
 
+    def rows(keys: list[tuple], counts: np.ndarray, types: list[pa.DataType]) -> pa.RecordBatch:
+        some = np.flatnonzero(counts.any(axis=1))
+        counts = counts[some].astype(np.float64)
+        unit = counts / np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        columns = [pa.array([keys[i][n] for i in some], t) for n, t in enumerate(types)]
+        vector = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * dim, pa.int32()), pa.array(unit.reshape(-1)))
+        return pa.RecordBatch.from_arrays([*columns, vector], names=[*key, "vector"])
 
-def hashed_vectors(tokens: DataFrame, key: list[str], dim: int = DEFAULT.vector_dim) -> DataFrame:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, types = None, []  # the last key and its counts, which the next slice may add to
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in key]
+            for part in slices(batch, "norm"):
+                row, word, terms = coded(part.column("norm"))
+                bucket = np.array([term_bucket(t, dim) for t in terms], np.int64)
+                counts = np.bincount(row * dim + bucket[word], minlength=part.num_rows * dim).reshape(-1, dim)
+                keys = list(zip(*(part.column(c).to_pylist() for c in key)))
+                if held is not None:
+                    keys, counts = [held[0], *keys], np.vstack([held[1], counts])
+                starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+                summed = np.add.reduceat(counts, starts, axis=0)
+                held = keys[starts[-1]], summed[-1:]
+                yield rows([keys[i] for i in starts[:-1]], summed[:-1], types)
+        if held is not None:
+            yield rows([held[0]], held[1], types)
+
+    return count
+
+
+def hashed_vectors(tokens: DataFrame, key: list[str], dim: int = DEFAULT.vector_dim, unique: bool = False) -> DataFrame:
     """``(key, vector)``: unit-length hashed term counts. Rows without a token have no vector.
 
-    Grouping is local where ``tokens`` is partitioned on the key; a group holds ``dim`` rows at most.
+    Rows of one key are brought side by side and add up while they pass by; where keys are known to be ``unique``, the
+    work is narrow.
     """
-    length = F.sqrt(F.sum(F.col("n") * F.col("n")))
-    return (
-        bucket_counts(tokens, key, dim)
-        .groupBy(*key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"), length.alias("length"))
-        .select(
-            *key,
-            F.transform(
-                F.sequence(F.lit(0), F.lit(dim - 1)),
-                lambda i: F.coalesce(F.element_at("m", i), F.lit(0)) / F.col("length"),
-            ).alias("vector"),
-        )
-    )
+    told = tokens.select(*key, "norm")
+    if not unique:
+        told = told.repartition(*key).sortWithinPartitions(*key)
+    fields = [*(told.schema[c] for c in key), T.StructField("vector", T.ArrayType(T.DoubleType()))]
+    return told.mapInArrow(_counted(dim, key), T.StructType(fields))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -94,13 +94,13 @@ def add_chunks(chunks: DataFrame, root: str, embed: Step | None = None, embedder
             return None
         tokens = lexical.tokenized(rows)
         n_tokens = tokens.agg(F.sum("dl").alias("n")).first()["n"]
-        tokens = lexical.by_chunk(tokens, n_tokens, cfg)
-        _write_postings(lexical.postings_of(tokens).select("chunk_id", "source", "dl", "term", "tf"), folder)
+        placed = lexical.by_chunk(tokens, n_tokens, cfg)
+        _write_postings(lexical.postings_of(placed).select("chunk_id", "source", "dl", "term", "tf"), folder)
         postings = spark.read.schema(_schemas(id_type)["postings"]).parquet(f"{folder}/postings")
         lexical.write_bounds(lexical.block_bounds(postings), f"{folder}/bounds")
         bounds = spark.read.schema(_schemas(id_type)["bounds"]).parquet(f"{folder}/bounds")
         bounds.groupBy("term").agg(F.sum("df").alias("df")).write.parquet(f"{folder}/terms")
-        found = vectors.hashed_vectors(tokens, ["chunk_id", "source"], cfg.vector_dim) if embed is None else embed(
+        found = vectors.hashed_vectors(tokens, ["chunk_id", "source"], cfg.vector_dim, unique=True) if embed is None else embed(
             rows.select("chunk_id", "source", "text"))
         found = found.select("chunk_id", "source", F.col("vector").cast("array<double>").alias("vector"))
         found = materialize(vectors.checked_dimension(found, cfg.vector_dim), "embedded")

@@ -215,8 +215,7 @@ def vector_filtered(spark, sf_dir):
 
 
 def document_vectors(spark, sf_dir) -> DataFrame:
-    tokens = lexical.tokenized(documents(spark, sf_dir)).repartition("chunk_id")
-    return vectors.hashed_vectors(tokens, ["chunk_id", "source"])
+    return vectors.hashed_vectors(lexical.tokenized(documents(spark, sf_dir)), ["chunk_id", "source"])
 
 
 def hashed_vectors(spark, sf_dir):

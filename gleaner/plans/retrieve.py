@@ -35,13 +35,12 @@ class Corpus:
 
 
 def build_corpus(chunks: DataFrame, embed: Step | None = None, cfg: RetrievalConfig = DEFAULT) -> Corpus:
-    """Indexes ``chunks(chunk_id, source, text[, page])``. Without an embedder, hashed vectors are
-    built from the same token exchange that serves BM25."""
+    """Indexes ``chunks(chunk_id, source, text[, page])``. Without an embedder, hashed vectors are built."""
     if "page" not in chunks.columns:
         chunks = chunks.withColumn("page", F.lit(None).cast("int"))
     index = lexical.build_index(chunks, cfg)
     if embed is None:
-        embeddings = vectors.hashed_vectors(index.tokens, ["chunk_id", "source"], cfg.vector_dim)
+        embeddings = vectors.hashed_vectors(lexical.tokenized(chunks), ["chunk_id", "source"], cfg.vector_dim)
     else:
         embeddings = embed(chunks.select("chunk_id", "source", "text")).select("chunk_id", "source", "vector")
     return Corpus(chunks, index, vectors.checked_dimension(embeddings, cfg.vector_dim))
