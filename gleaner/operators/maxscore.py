@@ -103,7 +103,10 @@ def search(queries: DataFrame, index: lexical.LexicalIndex, k: int, cfg: Retriev
 
     def looked_up(pairs: DataFrame, terms: DataFrame) -> DataFrame:
         """``(query_id, chunk_id, score)``: parts of ``terms(query_id, block, term, weight)`` for given pairs."""
+        # Pairs are few beside the postings, which would all be exchanged and sorted for them.
         missing = pairs.select("query_id", "chunk_id", "block").join(terms, ["query_id", "block"]).drop("block")
+        missing = materialize(missing, "missing")
+        missing = hinted(missing, fits(missing, cfg.broadcast_bytes))
         return found.join(missing, ["chunk_id", "term"]).select("query_id", "chunk_id", part.alias("score"))
 
     # 1. The rarest terms of a question, and the whole scores of the chunks that are best by them.
