@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import is_blank, lines, or_unknown, strip
+from gleaner.functions.words import slices
 from gleaner.operators.models import Step
 from gleaner.operators.prompts import CONTEXT_TEMPLATE, fill
 
@@ -199,9 +200,14 @@ def split_one(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -
 def size_split(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """``array<string>``; only texts above ``size`` are sent to Python, in Arrow batches."""
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else split_one(t, size, overlap))
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array) -> pa.Array:
+        # Texts and pieces are Python strings for one slice of the batch at a time.
+        found, batch = [], pa.RecordBatch.from_arrays([texts], names=["text"])
+        for part in slices(batch, "text"):
+            pieces = [None if t is None else split_one(t, size, overlap) for t in part.column("text").to_pylist()]
+            found.append(pa.array(pieces, pa.list_(pa.string())))
+        return pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.string()))
 
     whole = F.filter(F.array(strip(text)), lambda t: t != "")
     return F.coalesce(cut(F.when(F.length(text) > size, text)), whole)
