@@ -80,5 +80,10 @@ def test_lookups_of_few_pairs_exchange_no_postings(spark):
 def test_size_split_of_a_batch_in_slices(spark, monkeypatch):
     texts = ["wort " * n for n in (10, 300, 900, 3)] + [None, ""]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").coalesce(1)
-    got = {r.id: r.s for r in df.select("id", chunking.size_split(F.col("t")).alias("s")).collect()}
+    monkeypatch.setattr(words.slices, "__defaults__", (2000,))
+    cut = df.select("id", chunking.size_split(F.col("t")).alias("s"))
+    # No pandas UDF (200), which turns a whole batch into Python strings.
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and ", 200" not in plan.split("ArrowEvalPython")[1].splitlines()[0]
+    got = {r.id: r.s for r in cut.collect()}
     assert all(got[i] == chunking.split_one(t) for i, t in enumerate(texts) if t)
