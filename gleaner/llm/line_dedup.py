@@ -7,7 +7,10 @@ of a line's hashes are enough, as the least of a bin is among them or the bin co
 shingles that its sample fills few bins takes all of them.
 ``ROWS`` neighbouring bins make a band, and lines that agree in a band are candidates: at the threshold of 0.8 two lines
 miss all bands with a chance of about 0.3 %, at 0.9 of one in 20,000. Every candidate pair that decides anything is
-verified by the Jaccard coefficient of the true shingle strings.
+verified by the Jaccard coefficient of all their shingles, which are told apart by 64-bit hashes as the lines are.
+
+A line's bitmap has one bit set for each shingle, 1,024 in all. Lines whose bitmaps differ in more bits than lines at the
+threshold may differ in shingles are no pair; the bound is exact, so no link is lost by it.
 
 Pairs of a band are not listed. First each member is verified against the band's smallest line. Bands whose members
 then lie in one component are done; only in the others are members of different components verified with each other,
@@ -32,6 +35,7 @@ BINS = 24
 FILLED = 20
 ROWS = 3
 THRESHOLD = 0.8
+WORDS = 16
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -78,20 +82,39 @@ def bands(found: DataFrame, sampled: bool) -> DataFrame:
 
 
 def shingle_set(norm: str) -> str:
-    """SQL for the distinct shingles of a line; a short line is one shingle."""
-    every = f"regexp_extract_all({norm}, '(?s)(?=(.{{{SHINGLE}}}))', 1)"
-    return f"case when length({norm}) < {SHINGLE} then array({norm}) else array_distinct({every}) end"
+    """SQL for the distinct shingles of a line, as hashes; a short line is one shingle. Code points have four bytes in
+    UTF-32, so a shingle is found by its place; the outer transform only names the encoded line."""
+    each = f"transform(sequence(0, greatest(octet_length(u) div 4 - {SHINGLE - 1}, 1) - 1), i -> xxhash64(substring(u, 4 * i + 1, {4 * SHINGLE})))"
+    return f"transform(array(encode({norm}, 'UTF-32')), u -> array_distinct({each}))[0]"
+
+
+def sketched(lines: DataFrame) -> DataFrame:
+    """line_id, norm, size and a bitmap of ``WORDS`` longs of each line once; every shingle sets one bit of the bitmap."""
+    once = lines.dropDuplicates(["line_id"])
+    each = once.select("line_id", F.explode(F.expr(shingle_set("norm"))).alias("h"))
+    bit = F.expr("shiftleft(1L, int(shiftrightunsigned(h, 58)))")
+    marked = each.groupBy("line_id").agg(F.count(F.lit(1)).cast("int").alias("size"), *[
+        F.bit_or(F.when(F.expr(f"pmod(h, {WORDS}L)") == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{w}") for w in range(WORDS)])
+    return once.select("line_id", "norm").join(marked, "line_id")
+
+
+def may_be_similar(a: str, b: str, threshold: float) -> Column:
+    """False only for lines that can't be: of sizes n and m, lines at the threshold t differ in at most
+    (1 - t) / (1 + t) * (n + m) shingles, and their bitmaps in no more bits than that."""
+    sizes = F.least(f"{a}.size", f"{b}.size") >= threshold * F.greatest(f"{a}.size", f"{b}.size")
+    differ = F.expr(" + ".join(f"bit_count({a}.b{w} ^ {b}.b{w})" for w in range(WORDS)))
+    most = (1 - threshold) / (1 + threshold) * (F.col(f"{a}.size") + F.col(f"{b}.size"))
+    return sizes & (differ <= most + 1e-6)
 
 
 def similar(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v) whose lines' shingle sets have at least this Jaccard coefficient; ``found`` has norm and size."""
-    left = found.select(F.col("line_id").alias("u"), F.col("norm").alias("a"), F.col("size").alias("n"))
-    right = found.select(F.col("line_id").alias("v"), F.col("norm").alias("b"), F.col("size").alias("m"))
-    # Sets of too different sizes can't be similar.
-    both = pairs.join(left, "u").join(right, "v").filter(F.least("n", "m") >= threshold * F.greatest("n", "m"))
-    common = F.size(F.array_intersect(F.expr(shingle_set("a")), F.expr(shingle_set("b"))))
+    """The pairs (u, v) whose lines' shingle sets have at least this Jaccard coefficient; ``found`` is sketched."""
+    left, right = found.withColumnRenamed("line_id", "u").alias("l"), found.withColumnRenamed("line_id", "v").alias("r")
+    both = pairs.join(left, "u").join(right, "v").filter(may_be_similar("l", "r", threshold))
+    common = F.size(F.array_intersect(F.expr(shingle_set("l.norm")), F.expr(shingle_set("r.norm"))))
     # Written before it is filtered: a pushed condition would compute the sets for each mention.
-    counted = written(both.select("u", "v", "n", "m", common.alias("common")), "common-shingles")
+    counted = both.select("u", "v", F.col("l.size").alias("n"), F.col("r.size").alias("m"), common.alias("common"))
+    counted = written(counted, "common-shingles")
     return counted.filter(F.col("common") >= threshold * (F.col("n") + F.col("m") - F.col("common"))).select("u", "v")
 
 
@@ -108,16 +131,18 @@ def groups(occurrences: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     star = written(members.filter("line_id <> first").select(F.col("first").alias("u"), F.col("line_id").alias("v")).distinct(), "star-pairs")
     # The text of lines with a candidate; all later lookups read this part.
     text = known.join(small(written(members.select("line_id").distinct(), "candidates"), width=16), "line_id", "left_semi")
-    text = written(text.distinct().withColumn("size", F.size(F.expr(shingle_set("norm")))), "candidate-lines")
+    text = written(sketched(text), "candidate-lines")
     linked = similar(star, text, threshold)
     found = written(components(linked), "components")
     named = members.join(found, members["line_id"] == found["node"], "left").select(
         "key", "line_id", F.coalesce("root", "line_id").alias("root"))
     named = written(named, "named-members")
     mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    apart = written(named.join(mixed, "key"), "mixed-members")
+    apart = written(named.join(mixed, "key").join(text.drop("norm"), "line_id"), "mixed-members")
     a, b = apart.alias("a"), apart.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root"))).select(
+    # Bitmaps part the members as they are paired: only pairs near the threshold become rows.
+    hopeful = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & may_be_similar("a", "b", threshold)
+    pairs = a.join(b, hopeful).select(
         F.least("a.line_id", "b.line_id").alias("u"), F.greatest("a.line_id", "b.line_id").alias("v")).distinct()
     pairs = written(pairs.join(star, ["u", "v"], "left_anti"), "mixed-pairs")
     more = similar(pairs, text, threshold)

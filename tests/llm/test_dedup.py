@@ -175,3 +175,40 @@ def test_cleaned_texts(spark):
     docs = spark.createDataFrame([(1, f"one\n\n{line}\nlast"), (2, f"{line}.\n\nnew"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in line_dedup.cleaned(docs, line_dedup.decided(docs)).collect()}
     assert got == {1: f"one\n\n{line}\nlast", 2: "\nnew", 3: None}
+
+
+def test_lines_of_one_pattern_make_few_pairs(spark, monkeypatch):
+    """Lines that share half their shingles meet in bands; only pairs near the threshold may become rows."""
+    made, write = {}, line_dedup.written
+
+    def counted(df, name):
+        table = write(df, name)
+        made[name] = table.count()
+        return table
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    common = "the account of this chapter was settled in full on the "
+    texts = [common + hashlib.sha256(str(i).encode()).hexdigest()[:40] for i in range(300)]
+    texts += [t + "!" for t in texts[:20]]
+    got = line_dedup.decided(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.keep_doc_id for r in got} == {i: i % 300 for i in range(320)}
+    assert made["mixed-members"] > 300 and made["mixed-pairs"] < 3200
+
+
+def test_bitmaps_bound_what_lines_differ_in(spark):
+    rng = np.random.default_rng(5)
+    lines = []
+    for n in (1, 7, 8, 9, 40, 300, 2500):
+        base = rng.choice(list("abcé😀中 "), n)
+        for share in (0, 0.005, 0.02, 0.1):
+            lines.append("".join(np.where(rng.random(n) < share, "z", base)))
+    lines = sorted(set(lines))
+    found = line_dedup.sketched(spark.createDataFrame(list(enumerate(lines)), "line_id long, norm string")).localCheckpoint()
+    sizes = {r.line_id: r["size"] for r in found.collect()}
+    assert sizes == {i: len(shingle_set(line)) for i, line in enumerate(lines)}
+    a, b = found.alias("a"), found.alias("b")
+    pairs = a.join(b, (F.col("a.line_id") < F.col("b.line_id")) & line_dedup.may_be_similar("a", "b", 0.8))
+    kept = {(r[0], r[1]) for r in pairs.select("a.line_id", "b.line_id").collect()}
+    sets = [shingle_set(line) for line in lines]
+    alike = {(i, j) for j in range(len(lines)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert alike and alike <= kept and len(kept) < len(lines) * (len(lines) - 1) / 4
