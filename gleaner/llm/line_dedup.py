@@ -9,12 +9,16 @@ shingles that its sample fills few bins takes all of them.
 miss all bands with a chance of about 0.3 %, at 0.9 of one in 20,000. Every candidate pair that decides anything is
 verified by the Jaccard coefficient of all their shingles, which are told apart by 64-bit hashes as the lines are.
 
-A line's bitmap has one bit set for each shingle, 1,024 in all. Lines whose bitmaps differ in more bits than lines at the
-threshold may differ in shingles are no pair; the bound is exact, so no link is lost by it.
+A line's bitmap has 1,024 bits; each of its distinct shingles flips one. Shingles that two lines share flip the same bits,
+so their bitmaps differ in at most as many bits as they differ in shingles, and long lines' bitmaps don't fill up. Lines
+whose bitmaps differ in more bits than lines at the threshold may differ in shingles are no pair; the bound is exact, so
+no link is lost by it.
 
 Pairs of a band are not listed. First each member is verified against the band's smallest line. Bands whose members
-then lie in one component are done; only in the others are members of different components verified with each other,
-so every candidate link is found or is already implied. Equal lines are one line before any of this.
+then lie in one component are done. The others draw a member by hash ``PIVOTS`` times, of which the members of other
+components are verified next, and components grow together: a large group of near copies becomes one in a few rounds of
+as many pairs as it has members. Only in bands that are still mixed are members of different components verified with
+each other, so every candidate link is found or is already implied. Equal lines are one line before any of this.
 
 Defined results: null texts have no lines; blank lines are kept and never grouped; a component keeps its smallest
 (doc_id, line_no), ids that are null last; of repeated rows the first copy. Distinct lines are told apart by a 64-bit
@@ -36,6 +40,7 @@ FILLED = 20
 ROWS = 3
 THRESHOLD = 0.8
 WORDS = 16
+PIVOTS = 2
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -89,12 +94,12 @@ def shingle_set(norm: str) -> str:
 
 
 def sketched(lines: DataFrame) -> DataFrame:
-    """line_id, norm, size and a bitmap of ``WORDS`` longs of each line once; every shingle sets one bit of the bitmap."""
+    """line_id, norm, size and a bitmap of ``WORDS`` longs of each line once; every distinct shingle flips one bit of the bitmap."""
     once = lines.dropDuplicates(["line_id"])
     each = once.select("line_id", F.explode(F.expr(shingle_set("norm"))).alias("h"))
     bit = F.expr("shiftleft(1L, int(shiftrightunsigned(h, 58)))")
     marked = each.groupBy("line_id").agg(F.count(F.lit(1)).cast("int").alias("size"), *[
-        F.bit_or(F.when(F.expr(f"pmod(h, {WORDS}L)") == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{w}") for w in range(WORDS)])
+        F.bit_xor(F.when(F.expr(f"pmod(h, {WORDS}L)") == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{w}") for w in range(WORDS)])
     return once.select("line_id", "norm").join(marked, "line_id")
 
 
@@ -118,6 +123,33 @@ def similar(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     return counted.filter(F.col("common") >= threshold * (F.col("n") + F.col("m") - F.col("common"))).select("u", "v")
 
 
+def pivot_pairs(members: DataFrame, turn: int, threshold: float) -> DataFrame:
+    """u, v: of each band a member drawn by hash with the members of other components that may be similar."""
+    drawn = members.groupBy("key").agg(F.min_by("line_id", F.xxhash64("line_id", "key", F.lit(turn))).alias("pivot"))
+    pivot = members.join(drawn, "key").filter("line_id = pivot").drop("pivot")
+    hopeful = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & may_be_similar("a", "b", threshold)
+    return members.alias("a").join(pivot.alias("b"), hopeful).select(
+        F.least("a.line_id", "b.line_id").alias("u"), F.greatest("a.line_id", "b.line_id").alias("v")).distinct()
+
+
+def merged(found: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``found`` (node, root) with the links ``more`` (u, v), and old and new root of the components that these join."""
+    roots = more
+    for end in ("u", "v"):
+        known = found.select(F.col("node").alias(end), "root")
+        roots = roots.join(known, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    joined = written(components(roots.select("u", "v")), "joined-components")
+    to = joined.select(F.col("node").alias("root"), F.col("root").alias("new"))
+    old = found.join(to, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    return written(old.union(joined.join(found, "node", "left_anti").select("node", "root")), "components"), to
+
+
+def still_mixed(members: DataFrame) -> DataFrame:
+    """The members of bands with several components."""
+    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    return members.join(mixed, "key")
+
+
 def groups(occurrences: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """node, root of the lines that are linked to others; ``occurrences`` has norm and line_id."""
     known = occurrences.filter("norm is not null").select("norm", "line_id")
@@ -137,8 +169,14 @@ def groups(occurrences: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     named = members.join(found, members["line_id"] == found["node"], "left").select(
         "key", "line_id", F.coalesce("root", "line_id").alias("root"))
     named = written(named, "named-members")
-    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    apart = written(named.join(mixed, "key").join(text.drop("norm"), "line_id"), "mixed-members")
+    apart = written(still_mixed(named).join(text.drop("norm"), "line_id"), "mixed-members")
+    for turn in range(PIVOTS):
+        more = written(similar(written(pivot_pairs(apart, turn, threshold), "pivot-pairs"), text, threshold), "pivot-links")
+        if more.isEmpty():
+            break
+        found, to = merged(found, more)
+        moved = apart.join(to, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
+        apart = written(still_mixed(moved), "mixed-members")
     a, b = apart.alias("a"), apart.alias("b")
     # Bitmaps part the members as they are paired: only pairs near the threshold become rows.
     hopeful = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & may_be_similar("a", "b", threshold)
@@ -148,7 +186,7 @@ def groups(occurrences: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     more = similar(pairs, text, threshold)
     if more.isEmpty():
         return found
-    return components(linked.union(more))
+    return merged(found, more)[0]
 
 
 def decided(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -212,3 +212,33 @@ def test_bitmaps_bound_what_lines_differ_in(spark):
     sets = [shingle_set(line) for line in lines]
     alike = {(i, j) for j in range(len(lines)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert alike and alike <= kept and len(kept) < len(lines) * (len(lines) - 1) / 4
+
+
+def test_near_copies_about_the_threshold_make_few_pairs(spark, monkeypatch):
+    """Half the pairs of a large group are links; verifying a few members against the others finds its components."""
+    made, write = defaultdict(int), line_dedup.written
+
+    def counted(df, name):
+        table = write(df, name)
+        made[name] += table.count()
+        return table
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    rng = np.random.default_rng(3)
+    base, rows = rng.choice(list("abcdefghijklmnop"), 500), []
+    for i in range(300):
+        copy = base.copy()
+        copy[rng.choice(500, 3 + i % 2, replace=False)] = "z"
+        rows.append((i, "".join(copy)))
+    got = line_dedup.decided(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.kept for r in got) == len(set(line_classes(rows).values()))
+    assert made["mixed-members"] > 300 and made["common-shingles"] < 3000
+
+
+def test_bitmaps_of_long_lines_tell_them_apart(spark):
+    rng = np.random.default_rng(4)
+    base = "".join(rng.choice(list("abcdefghijklmnop"), 1200))
+    lines = [base] + [base[:840] + "".join(rng.choice(list("abcdefghijklmnop"), 360)) for _ in range(20)]
+    found = line_dedup.sketched(spark.createDataFrame(list(enumerate(lines)), "line_id long, norm string")).localCheckpoint()
+    a, b = found.alias("a"), found.alias("b")
+    assert a.join(b, (F.col("a.line_id") < F.col("b.line_id")) & line_dedup.may_be_similar("a", "b", 0.8)).count() == 0
