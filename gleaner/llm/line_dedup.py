@@ -15,9 +15,9 @@ whose bitmaps differ in more bits than lines at the threshold may differ in shin
 no link is lost by it.
 
 Pairs of a band are not listed. First each member is verified against the band's smallest line. Bands whose members
-then lie in one component are done. The others draw a member by hash ``PIVOTS`` times, of which the members of other
-components are verified next, and components grow together: a large group of near copies becomes one in a few rounds of
-as many pairs as it has members. Only in bands that are still mixed are members of different components verified with
+then lie in one component are done. In the others members of other components are verified with a member drawn by
+hash, ``PIVOTS`` times, and components grow together: most of a large group of near copies becomes one in as many
+pairs as it has members. Only in bands that are still mixed are members of different components verified with
 each other, so every candidate link is found or is already implied. Equal lines are one line before any of this.
 
 Defined results: null texts have no lines; blank lines are kept and never grouped; a component keeps its smallest
@@ -40,7 +40,7 @@ FILLED = 20
 ROWS = 3
 THRESHOLD = 0.8
 WORDS = 16
-PIVOTS = 2
+PIVOTS = 1
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def merged(found: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
 def still_mixed(members: DataFrame) -> DataFrame:
     """The members of bands with several components."""
     mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    return members.join(mixed, "key")
+    return members.join(small(written(mixed, "mixed-bands")), "key")
 
 
 def groups(occurrences: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -175,7 +175,7 @@ def groups(occurrences: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if more.isEmpty():
             break
         found, to = merged(found, more)
-        moved = apart.join(to, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
+        moved = apart.join(small(to), "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
         apart = written(still_mixed(moved), "mixed-members")
     a, b = apart.alias("a"), apart.alias("b")
     # Bitmaps part the members as they are paired: only pairs near the threshold become rows.
