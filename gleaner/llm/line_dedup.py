@@ -14,11 +14,12 @@ so their bitmaps differ in at most as many bits as they differ in shingles, and
 whose bitmaps differ in more bits than lines at the threshold may differ in shingles are no pair; the bound is exact, so
 no link is lost by it.
 
-Pairs of a band are not listed. First each member is verified against the band's smallest line. Bands whose members
-then lie in one component are done. In the others members of other components are verified with a member drawn by
-hash, ``PIVOTS`` times, and components grow together: most of a large group of near copies becomes one in as many
-pairs as it has members. Only in bands that are still mixed are members of different components verified with
-each other, so every candidate link is found or is already implied. Equal lines are one line before any of this.
+Pairs of a band are not listed. First each member is verified against the band's smallest line, which then leaves the
+band. Bands whose members lie in one component are done. In the others members of other components are verified with a
+member drawn by hash, which leaves too, ``PIVOTS`` times, and in bands of more than ``LARGE`` members as long as that
+finds links, in ``ROUNDS`` rounds at most: components grow together, and most of a large group of near copies becomes one in as many pairs as it has
+members. Only in bands that are still mixed are members of different components verified with each other, each pair in
+one of its bands, so every candidate link is found or is already implied. Equal lines are one line before any of this.
 
 Defined results: null texts have no lines; blank lines are kept and never grouped; a component keeps its smallest
 (doc_id, line_no), ids that are null last; of repeated rows the first copy. Distinct lines are told apart by a 64-bit
@@ -41,6 +42,8 @@ ROWS = 3
 THRESHOLD = 0.8
 WORDS = 16
 PIVOTS = 1
+LARGE = 1024
+ROUNDS = 6
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -86,20 +89,23 @@ def bands(found: DataFrame, sampled: bool) -> DataFrame:
     return least.select("line_id", F.explode(every).alias("key"))
 
 
-def shingle_set(norm: str) -> str:
-    """SQL for the distinct shingles of a line, as hashes; a short line is one shingle. Code points have four bytes in
-    UTF-32, so a shingle is found by its place; the outer transform only names the encoded line."""
-    each = f"transform(sequence(0, greatest(octet_length(u) div 4 - {SHINGLE - 1}, 1) - 1), i -> xxhash64(substring(u, 4 * i + 1, {4 * SHINGLE})))"
-    return f"transform(array(encode({norm}, 'UTF-32')), u -> array_distinct({each}))[0]"
+def shingles(norm: str) -> Column:
+    """The shingles of a line, as hashes; a short line is one shingle. Code points have four bytes in UTF-32, so a shingle
+    is found by its place; the outer transform only names the encoded line, which is computed and held once."""
+    places = f"sequence(1, greatest(octet_length(u) - {4 * SHINGLE - 1}, 1), 4)"
+    return F.expr(f"transform(array(encode({norm}, 'UTF-32')), u -> transform({places}, i -> xxhash64(substring(u, i, {4 * SHINGLE}))))[0]")
 
 
 def sketched(lines: DataFrame) -> DataFrame:
     """line_id, norm, size and a bitmap of ``WORDS`` longs of each line once; every distinct shingle flips one bit of the bitmap."""
     once = lines.dropDuplicates(["line_id"])
-    each = once.select("line_id", F.explode(F.expr(shingle_set("norm"))).alias("h"))
-    bit = F.expr("shiftleft(1L, int(shiftrightunsigned(h, 58)))")
-    marked = each.groupBy("line_id").agg(F.count(F.lit(1)).cast("int").alias("size"), *[
-        F.bit_xor(F.when(F.expr(f"pmod(h, {WORDS}L)") == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{w}") for w in range(WORDS)])
+    # A generator would compute the set by its slower, interpreted form.
+    each = once.select("line_id", F.array_distinct(shingles("norm")).alias("set")).select("line_id", F.explode("set").alias("h"))
+    # First one word at a time: an aggregate of every word for each shingle costs several times as much.
+    bits = each.select("line_id", F.expr(f"pmod(h, {WORDS}L)").alias("w"), F.expr("shiftleft(1L, int(shiftrightunsigned(h, 58)))").alias("bit"))
+    words = bits.groupBy("line_id", "w").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("bit").alias("bits"))
+    marked = words.groupBy("line_id").agg(F.sum("n").cast("int").alias("size"), *[
+        F.coalesce(F.max(F.when(F.col("w") == w, F.col("bits"))), F.lit(0).cast("long")).alias(f"b{w}") for w in range(WORDS)])
     return once.select("line_id", "norm").join(marked, "line_id")
 
 
@@ -116,22 +122,31 @@ def similar(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """The pairs (u, v) whose lines' shingle sets have at least this Jaccard coefficient; ``found`` is sketched."""
     left, right = found.withColumnRenamed("line_id", "u").alias("l"), found.withColumnRenamed("line_id", "v").alias("r")
     both = pairs.join(left, "u").join(right, "v").filter(may_be_similar("l", "r", threshold))
-    common = F.size(F.array_intersect(F.expr(shingle_set("l.norm")), F.expr(shingle_set("r.norm"))))
+    common = F.size(F.array_intersect(shingles("l.norm"), shingles("r.norm")))
     # Written before it is filtered: a pushed condition would compute the sets for each mention.
     counted = both.select("u", "v", F.col("l.size").alias("n"), F.col("r.size").alias("m"), common.alias("common"))
     counted = written(counted, "common-shingles")
     return counted.filter(F.col("common") >= threshold * (F.col("n") + F.col("m") - F.col("common"))).select("u", "v")
 
 
-def pivot_pairs(members: DataFrame, turn: int, threshold: float) -> DataFrame:
-    """u, v: of each band a member drawn by hash with the members of other components that may be similar."""
-    drawn = members.groupBy("key").agg(F.min_by("line_id", F.xxhash64("line_id", "key", F.lit(turn))).alias("pivot"))
+def pivot_pairs(members: DataFrame, drawn: DataFrame, threshold: float) -> DataFrame:
+    """u, v: of each band the ``drawn`` member (key, pivot) with the members of other components that may be similar."""
     pivot = members.join(drawn, "key").filter("line_id = pivot").drop("pivot")
     hopeful = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & may_be_similar("a", "b", threshold)
     return members.alias("a").join(pivot.alias("b"), hopeful).select(
         F.least("a.line_id", "b.line_id").alias("u"), F.greatest("a.line_id", "b.line_id").alias("v")).distinct()
 
 
+def other_pairs(members: DataFrame, threshold: float) -> DataFrame:
+    """u, v: members of a band and of several components that may be similar. Lines that share several bands are paired in
+    the least of them only; where that band was left out, they were verified there or lie in one component."""
+    a, b = members.alias("a"), members.alias("b")
+    hopeful = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & may_be_similar("a", "b", threshold)
+    once = F.col("a.key") == F.array_min(F.array_intersect("a.keys", "b.keys"))
+    return a.join(b, hopeful & once).select(
+        F.least("a.line_id", "b.line_id").alias("u"), F.greatest("a.line_id", "b.line_id").alias("v"))
+
+
 def merged(found: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``found`` (node, root) with the links ``more`` (u, v), and old and new root of the components that these join."""
     roots = more
@@ -166,24 +181,27 @@ def groups(occurrences: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     text = written(sketched(text), "candidate-lines")
     linked = similar(star, text, threshold)
     found = written(components(linked), "components")
-    named = members.join(found, members["line_id"] == found["node"], "left").select(
+    # A band's smallest line is verified against all others, so only these are left in it.
+    rest = members.filter("line_id <> first").join(small(found), F.col("line_id") == F.col("node"), "left").select(
         "key", "line_id", F.coalesce("root", "line_id").alias("root"))
-    named = written(named, "named-members")
-    apart = written(still_mixed(named).join(text.drop("norm"), "line_id"), "mixed-members")
-    for turn in range(PIVOTS):
-        more = written(similar(written(pivot_pairs(apart, turn, threshold), "pivot-pairs"), text, threshold), "pivot-links")
-        if more.isEmpty():
+    rest = written(still_mixed(written(rest, "named-members")), "mixed-lines")
+    keys = rest.groupBy("line_id").agg(F.collect_set("key").alias("keys"))
+    apart = written(rest.join(keys, "line_id").join(text.drop("norm"), "line_id"), "mixed-members")
+    turn, among = 0, apart
+    while turn < PIVOTS or not among.isEmpty():
+        drawn = written(among.groupBy("key").agg(F.min_by("line_id", F.xxhash64("line_id", "key", F.lit(turn))).alias("pivot")), "pivots")
+        more = written(similar(written(pivot_pairs(among, drawn, threshold), "pivot-pairs"), text, threshold), "pivot-links")
+        none = more.isEmpty()
+        moved = apart.join(small(drawn), "key", "left").filter("pivot is null or line_id <> pivot").drop("pivot")
+        if not none:
+            found, to = merged(found, more)
+            moved = moved.join(small(to), "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
+        apart = written(still_mixed(written(moved, "moved-members")), "mixed-members")
+        turn += 1
+        if none or turn == ROUNDS:
             break
-        found, to = merged(found, more)
-        moved = apart.join(small(to), "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
-        apart = written(still_mixed(moved), "mixed-members")
-    a, b = apart.alias("a"), apart.alias("b")
-    # Bitmaps part the members as they are paired: only pairs near the threshold become rows.
-    hopeful = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & may_be_similar("a", "b", threshold)
-    pairs = a.join(b, hopeful).select(
-        F.least("a.line_id", "b.line_id").alias("u"), F.greatest("a.line_id", "b.line_id").alias("v")).distinct()
-    pairs = written(pairs.join(star, ["u", "v"], "left_anti"), "mixed-pairs")
-    more = similar(pairs, text, threshold)
+        among = apart.join(small(written(apart.groupBy("key").count().filter(F.col("count") > LARGE).select("key"), "large-bands")), "key")
+    more = similar(written(other_pairs(apart, threshold), "mixed-pairs"), text, threshold)
     if more.isEmpty():
         return found
     return merged(found, more)[0]
@@ -194,7 +212,7 @@ def decided(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     split = written(lines(docs), "lines")
     rows = written(split.groupBy("doc_id", "line_no", "line_id").agg(F.count(F.lit(1)).alias("n")), "line-rows")
     found = groups(split, threshold)
-    rooted = rows.join(found, rows["line_id"] == found["node"], "left").select(
+    rooted = rows.join(small(found), rows["line_id"] == found["node"], "left").select(
         "doc_id", "line_no", "n", F.coalesce("root", "line_id").alias("root"))
     rooted = written(rooted, "rooted-lines")
     filled = rooted.filter("root is not null")

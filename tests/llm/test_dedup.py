@@ -242,3 +242,29 @@ def test_bitmaps_of_long_lines_tell_them_apart(spark):
     found = line_dedup.sketched(spark.createDataFrame(list(enumerate(lines)), "line_id long, norm string")).localCheckpoint()
     a, b = found.alias("a"), found.alias("b")
     assert a.join(b, (F.col("a.line_id") < F.col("b.line_id")) & line_dedup.may_be_similar("a", "b", 0.8)).count() == 0
+
+
+def test_lines_of_several_bands_are_paired_once(spark):
+    """Near copies share most of their bands; a pair of them is one row, in whichever band it is listed."""
+    lines = ["the account of this chapter was settled in full on the " + c for c in ("first", "third", "fifth")]
+    sketch = line_dedup.sketched(spark.createDataFrame(list(enumerate(lines)), "line_id long, norm string")).drop("norm")
+    bands = spark.createDataFrame([(k, i, i) for k in (30, 10, 20) for i in range(3) if (k, i) != (10, 2)], "key long, line_id long, root long")
+    keys = bands.groupBy("line_id").agg(F.collect_set("key").alias("keys"))
+    members = bands.join(keys, "line_id").join(sketch, "line_id").localCheckpoint()
+    got = sorted((r.u, r.v) for r in line_dedup.other_pairs(members, 0.5).collect())
+    assert got == [(0, 1), (0, 2), (1, 2)]
+
+
+def test_large_bands_lose_no_link(spark, monkeypatch):
+    """Drawn members leave their band once they are verified; bands over LARGE draw again."""
+    monkeypatch.setattr(line_dedup, "LARGE", 4)
+    monkeypatch.setattr(line_dedup, "ROUNDS", 2)
+    words = [hashlib.sha256(str(i).encode()).hexdigest()[:9] for i in range(40)]
+    rows = [(i, " ".join(words[:i % 20] + ["other"] + words[i % 20 + 1:30 + i // 20])) for i in range(60)]
+    got = line_dedup.decided(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    classes = line_classes(rows)
+    first = {}
+    for i, text in rows:
+        norm = text.lower()
+        first.setdefault(classes[norm], i)
+    assert {r.doc_id: r.keep_doc_id for r in got} == {i: first[classes[text]] for i, text in rows}
